@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def staged(first: F.Column, *steps) -> F.Column:
+    """The last step's value; each step maps the struct or value before it. A value is computed once however often the next
+    step uses it, and lambdas stay side by side: nested ones take the analyzer exponential time."""
+    a = F.array(first)
+    for step in steps:
+        a = F.transform(a, step)
+    return F.get(a, F.lit(0))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import decontamination, secrets, sharding, simhash, winnowing
 
 QUERIES = {
+    "op1_winnowing": winnowing.op1_winnowing,
     "op6_hash_tree": sharding.op6_hash_tree,
+    "op7_random_secrets": secrets.op7_random_secrets,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_simhash_windows": decontamination.op9_simhash_windows,
 }
 ORACLE_SQL = {"op6_hash_tree": sharding.OP6_SQL}

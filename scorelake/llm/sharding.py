@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged, table
+
 #: Shards to a rack and racks to a region, filled in the order of the shard numbers.
 RACK, REGION = 4, 3
 #: Rows to a block of slot numbers; a block is numbered by one task.
@@ -34,13 +36,18 @@ def descend(draw: F.Column, n: int, rack: int = RACK, region: int = REGION) -> F
     """The shard reached from the root of a tree with n shards; draw has one entry per shard at least."""
     racks = -(-n // rack)
     regions = -(-racks // region)
-    leaf = F.slice(draw, 1, n)
-    at_rack = F.transform(F.sequence(F.lit(0), F.lit(racks - 1)), lambda r: F.array_min(F.slice(leaf, r * rack + 1, rack)))
-    at_region = F.transform(F.sequence(F.lit(0), F.lit(regions - 1)), lambda r: F.array_min(F.slice(at_rack, r * region + 1, region)))
+    groups = lambda a, count, size: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda g: F.array_min(F.slice(a, g * size + 1, size)))
     least = lambda a: F.array_position(a, F.array_min(a)).cast("int") - 1
-    r = least(at_region)
-    k = r * region + least(F.slice(at_rack, r * region + 1, region))
-    return (k * rack + least(F.slice(leaf, k * rack + 1, rack))).cast("int")
+    return staged(
+        F.struct(F.slice(draw, 1, n).alias("leaf")),
+        lambda s: F.struct(s["leaf"].alias("leaf"), groups(s["leaf"], racks, rack).alias("rack")),
+        lambda s: F.struct(s["leaf"].alias("leaf"), s["rack"].alias("rack"), groups(s["rack"], regions, region).alias("region")),
+        lambda s: F.struct(s["leaf"].alias("leaf"), s["rack"].alias("rack"), least(s["region"]).alias("r")),
+        lambda s: F.struct(s["leaf"].alias("leaf"), s["r"].alias("r"), F.slice(s["rack"], s["r"] * region + 1, region).alias("rack")),
+        lambda s: F.struct(s["leaf"].alias("leaf"), (s["r"] * region + least(s["rack"])).alias("k")),
+        lambda s: F.struct(F.slice(s["leaf"], s["k"] * rack + 1, rack).alias("leaf"), s["k"].alias("k")),
+        lambda s: s["k"] * rack + least(s["leaf"]),
+    ).cast("int")
 
 
 def with_slots(df: DataFrame, shard: str, order: str, rows: int) -> DataFrame:
@@ -58,16 +65,13 @@ def with_slots(df: DataFrame, shard: str, order: str, rows: int) -> DataFrame:
 def shard_rows(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: the placement on n_shards and on one shard more."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).cast("long").alias("text_crc32"), draws(key, [1.0] * (n_shards + 1)).alias("_draw")
-    ).select(key, "size", "text_crc32", F.lit("key").alias("law"), descend(F.col("_draw"), n_shards).alias("shard"), descend(F.col("_draw"), n_shards + 1).alias("grown_shard"))
+    rows = docs.select(key, (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).cast("long").alias("text_crc32"), F.lit("key").alias("law"), draws(key, [1.0] * (n_shards + 1)).alias("_draw"))
+    rows = rows.withColumn("shard", descend(F.col("_draw"), n_shards)).withColumn("grown_shard", descend(F.col("_draw"), n_shards + 1)).drop("_draw")
     return with_slots(rows, "shard", key, docs.count()).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op6_hash_tree(spark, sf_dir: str) -> DataFrame:
     """All documents on shards 0 to 23; law `key`."""
-    from .common import table
-
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
