@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, secrets, sharding, simhash, winnowing
+from . import decontamination, language, licenses, pieces, secrets, sharding, simhash, substrings, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
+    "op2_prefix_doubling": substrings.op2_prefix_doubling,
+    "op3_gumbel_topk": pieces.op3_gumbel_topk,
+    "op4_script_viterbi": language.op4_script_viterbi,
+    "op5_sentence_rules": licenses.op5_sentence_rules,
     "op6_hash_tree": sharding.op6_hash_tree,
     "op7_random_secrets": secrets.op7_random_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op9_simhash_windows": decontamination.op9_simhash_windows,
+    "op10_subword_bags": toxicity.op10_subword_bags,
 }
 ORACLE_SQL = {"op6_hash_tree": sharding.OP6_SQL}
