@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metric_queries
+from . import array_queries, metric_queries, relational_queries
 
-_MODULES = (metric_queries,)
+_MODULES = (metric_queries, relational_queries, array_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
