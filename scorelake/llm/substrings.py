@@ -79,58 +79,45 @@ def anchors(data: bytes, length: int = LENGTH, seed: int = SEED):
 
 
 def repeats(ids, subs, starts, pieces, length: int = LENGTH):
-    """For pieces of texts, in any order: per piece a boolean array over its windows, true where an earlier piece or an
-    earlier window holds the same bytes. ids, subs, starts give each piece's place."""
+    """For pieces of texts: their order by place (id, sub, start), and for all their windows in that order the ordinal of
+    the piece, the window's start in its text, and whether an earlier window of another place holds the same bytes."""
     import numpy as np
 
     order = np.lexsort((starts, subs, ids))
+    ids, subs, starts = ids[order], subs[order], starts[order]
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[order]
     buf = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    wins = sizes - length + 1
+    begin, wins = np.cumsum(sizes) - sizes, sizes - length + 1
     of = np.repeat(np.arange(len(order)), wins)
-    at = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
-    where = begin[of] + at
+    at = np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins)
+    where, pos = begin[of] + at, starts[of] + at
     name = names(buf, length)[where]
     by = np.argsort(name, kind="stable")
     new = np.concatenate([[True], name[by][1:] != name[by][:-1]]) if len(by) else np.zeros(0, bool)
-    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
     first = np.empty(len(by), np.int64)
-    first[by] = head
-    place = lambda w: (ids[order[of[w]]], subs[order[of[w]]], starts[order[of[w]]] + at[w])
+    first[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
     later = np.nonzero(first != np.arange(len(first)))[0]
-    a, b = place(later), place(first[later])
-    same = (a[0] == b[0]) & (a[1] == b[1]) & (a[2] == b[2])
+    head = first[later]
+    same = (ids[of[later]] == ids[of[head]]) & (subs[of[later]] == subs[of[head]]) & (pos[later] == pos[head])
     later = later[~same]
     view = np.lib.stride_tricks.sliding_window_view(buf, length) if len(buf) >= length else None
-    dup = np.zeros(len(first), bool)
-    exact = True
-    for s in range(0, len(later), 50_000):
-        part = later[s : s + 50_000]
+    dup, exact = np.zeros(len(first), bool), True
+    for s in range(0, len(later), 20_000):
+        part = later[s : s + 20_000]
         exact &= bool((view[where[part]] == view[where[first[part]]]).all())
     if exact:
         dup[later] = True
     else:  # two strings with one name: compare bytes alone
         seen: dict[bytes, tuple] = {}
         for w in range(len(first)):
-            p = tuple(int(x[0]) for x in place(np.array([w])))
+            p = (int(ids[of[w]]), int(subs[of[w]]), int(pos[w]))
             dup[w] = seen.setdefault(view[where[w]].tobytes(), p) != p
-    ends = np.cumsum(wins)
-    out = [None] * len(pieces)
-    for k, i in enumerate(order):
-        out[i] = dup[ends[k] - wins[k] : ends[k]]
-    return out
+    return order, of, pos, dup
 
 
-def runs(flags):
-    """First and last index of each run of true values."""
-    import numpy as np
-
-    d = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-    return np.nonzero(d == 1)[0], np.nonzero(d == -1)[0] - 1
-
-
-FOUND = "h long, id long, sub long, lo int, hi int, known boolean, part long"
+#: Anchors: their windows start at lo to lo + more, the anchor is at lo + off; known: repeated in its batch; off < 0: a marker.
+FOUND = "h long, id long, sub long, lo int, more int, off int, known boolean"
+#: Pieces of a text from start, or, without piece, removed bytes from start to till.
 PIECE = "h long, id long, sub long, start int, piece binary, till int"
 
 
@@ -147,18 +134,16 @@ def find_anchors(batches):
             n = np.array([len(p[0]) for p in parts])
             if not n.sum():
                 continue
-            h, _, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            h, at, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(4))
             who, sub = np.repeat(ids, n), np.repeat(subs, n)
             _, first, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            known = times[back] > 1
             mark = first[times > 1]
             pick = np.concatenate([np.arange(len(h)), mark])
-            is_mark = np.arange(len(pick)) >= len(h)
-            known_row = np.concatenate([known, np.zeros(len(mark), bool)])
-            part = np.where(known_row, who[pick] * 31 + lo[pick], h[pick])
-            low = np.where(is_mark, -1, lo[pick])
-            cols = [h[pick], who[pick], sub[pick], low.astype(np.int32), hi[pick].astype(np.int32), known_row, part]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "id", "sub", "lo", "hi", "known", "part"])
+            off = (at - lo)[pick].astype(np.int32)
+            off[len(h) :] = -1
+            known = np.concatenate([times[back] > 1, np.zeros(len(mark), bool)])
+            cols = [h[pick], who[pick], sub[pick], lo[pick].astype(np.int32), (hi - lo)[pick].astype(np.int32), off, known]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "id", "sub", "lo", "more", "off", "known"])
 
 
 def keep_repeated(batches):
@@ -167,7 +152,7 @@ def keep_repeated(batches):
     import pyarrow as pa
 
     held = None  # the last row so far that waits for its successor, with whether its predecessor shared its h
-    cols = ["h", "id", "sub", "lo", "hi"]
+    cols = ["id", "sub", "lo", "more", "off"]
     for b in batches:
         if not b.num_rows:
             continue
@@ -187,7 +172,7 @@ def keep_repeated(batches):
         ok = known.copy()
         ok[idx] = eq
         tail = idx[-1] if len(idx) else None
-        emit = ok & (t.column("lo").to_numpy() >= 0)
+        emit = ok & (t.column("off").to_numpy() >= 0)
         if tail is not None:
             emit[tail] = False  # it waits
         out = t.filter(pa.array(emit)).select(cols).combine_chunks()
@@ -197,7 +182,7 @@ def keep_repeated(batches):
             held = (t.slice(int(tail), 1), before)
     if held is not None:
         row, before = held
-        if before is not None and row.column("h")[0].as_py() == before and row.column("lo")[0].as_py() >= 0:
+        if before is not None and row.column("h")[0].as_py() == before and row.column("off")[0].as_py() >= 0:
             yield from row.select(cols).to_batches()
 
 
@@ -211,22 +196,23 @@ def settle(batches, final: bool):
     def work(t):
         h, ids, subs, start = (t.column(c).to_numpy() for c in ("h", "id", "sub", "start"))
         pieces = t.column("piece").to_pylist()
-        rows = [[], [], [], [], [], []]
-
-        def put(*row):
-            for c, x in zip(rows, row):
-                c.append(x)
-
-        for k, dup in enumerate(repeats(ids, subs, start, pieces)):
-            s = int(start[k])
-            if dup.any():
-                for a, z in zip(*runs(dup)):
-                    put(0, ids[k], subs[k], s + int(a), None, s + int(z) + LENGTH)
-            if not final and not dup.all():
-                for a, z in zip(*runs(~dup)):
-                    put(h[k], ids[k], subs[k], s + int(a), pieces[k][a : z + LENGTH], 0)
+        order, of, pos, dup = repeats(ids, subs, start, pieces)
+        h, ids, subs, start = h[order], ids[order], subs[order], start[order]
+        # removed: runs of windows that follow each other in one text, over pieces
+        w = np.nonzero(dup)[0]
+        cut = (pos[w][1:] != pos[w][:-1] + 1) | (ids[of[w]][1:] != ids[of[w]][:-1]) | (subs[of[w]][1:] != subs[of[w]][:-1])
+        a, z = w[np.concatenate([[True], cut])[: len(w)]], w[np.concatenate([cut, [True]])[: len(w)]]
+        rows = [np.zeros(len(a), np.int64), ids[of[a]], subs[of[a]], pos[a], [None] * len(a), pos[z] + LENGTH]
+        if not final:  # what no earlier window of the batch equals goes on, by runs within pieces
+            w = np.nonzero(~dup)[0]
+            cut = (w[1:] != w[:-1] + 1) | (of[w][1:] != of[w][:-1])
+            a, z = w[np.concatenate([[True], cut])[: len(w)]], w[np.concatenate([cut, [True]])[: len(w)]]
+            k, s, e = of[a], pos[a] - start[of[a]], pos[z] - start[of[a]] + LENGTH
+            kept = [pieces[i][x:y] for i, x, y in zip(order[k].tolist(), s.tolist(), e.tolist())]
+            more = [h[k], ids[k], subs[k], pos[a], kept, np.zeros(len(a), np.int64)]
+            rows = [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(rows, more)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["h", "id", "sub", "start", "piece", "till"])
+        return pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(np.int64), pa.binary()) if k == pa.binary() else pa.array(c.astype(np.int64)).cast(k) for c, k in zip(rows, kinds)], ["h", "id", "sub", "start", "piece", "till"])
 
     rest = None
     for b in batches:
@@ -243,21 +229,26 @@ def settle(batches, final: bool):
 
 
 def cut_pieces(batches):
-    """(id, sub, body, found: list of h, lo, hi) to pieces, settled within batches."""
+    """(id, sub, body, found: list of lo, more, off) to pieces, settled within batches."""
+    import numpy as np
     import pyarrow as pa
 
     def pieces():
         for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
-                rows = [[], [], [], [], []]
-                for i, sub, body, found in zip(*(b.column(c).to_pylist() for c in range(4))):
-                    for f in found:
-                        for c, x in zip(rows, (f["h"], i, sub, f["lo"], body[f["lo"] : f["hi"] + LENGTH])):
-                            c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["h", "id", "sub", "start", "piece"])
+            for s in range(0, whole.num_rows, 4000):
+                b = whole.slice(s, 4000)
+                n = np.diff(b.column(3).offsets.to_numpy())
+                found = b.column(3).flatten()
+                lo, more, off = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                if not len(lo):
+                    continue
+                end, h, parts = np.cumsum(n), [], []
+                for body, z, k in zip(b.column(2).to_pylist(), end.tolist(), n.tolist()):
+                    mine = slice(z - k, z)
+                    h.append(names(np.frombuffer(body, np.uint8), SEED)[lo[mine] + off[mine]].view(np.int64))
+                    parts += [body[x : x + m + LENGTH] for x, m in zip(lo[mine].tolist(), more[mine].tolist())]
+                ids, subs = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(ids), pa.array(subs), pa.array(lo.astype(np.int32)), pa.array(parts, pa.binary())], ["h", "id", "sub", "start", "piece"])
 
     yield from settle(pieces(), final=False)
 
@@ -279,7 +270,7 @@ def remove(batches):
                 np.add.at(d, [g["start"] for g in gone], 1)
                 np.add.at(d, [g["till"] for g in gone], -1)
                 off = np.cumsum(d)[:-1] > 0
-                n_removed, n_spans = int(off.sum()), len(runs(off)[0])
+                n_removed, n_spans = int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum())
                 kept = np.frombuffer(body, np.uint8)[~off].tobytes()
             for c, x in zip(out, (i, len(body), n_removed, n_spans, hashlib.sha256(kept).hexdigest())):
                 c.append(x)
@@ -294,15 +285,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keys = base.select("id", digest, F.octet_length("body").cast("long").alias("n_bytes"))
     first = keys.groupBy("digest").agg(F.min("id").alias("first"))
     # one exchange of the texts, by id, serves the three passes over them
-    texts = base.repartition("id").withColumn("digest", F.sha2("body", 256)).withColumn("sub", F.xxhash64("digest"))
-    mine = first.select(F.col("first").alias("id"), F.xxhash64("digest").alias("_sub"))
+    # sub tells the texts of one doc_id apart; without repeated ids it is 0 and costs the shuffles nothing
+    rows, ids = keys.agg(F.count("*"), F.countDistinct("id")).first()
+    sub = F.xxhash64("digest") if rows != ids else F.lit(0).cast("long")
+    texts = base.repartition("id").withColumn("digest", F.sha2("body", 256)).withColumn("sub", sub)
+    mine = first.select(F.col("first").alias("id"), sub.alias("_sub"))
     texts = texts.join(mine, "id").where("sub = _sub").select("id", "sub", "body")
 
-    found = texts.mapInArrow(find_anchors, FOUND).repartition("part").sortWithinPartitions("h").mapInArrow(keep_repeated, "h long, id long, sub long, lo int, hi int")
-    per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found")).withColumnRenamed("sub", "_sub")
+    # known anchors are dealt by their place, the others by their name
+    dealt = F.when(F.col("known"), F.xxhash64("id", "lo")).otherwise(F.col("h"))
+    found = texts.mapInArrow(find_anchors, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, "id long, sub long, lo int, more int, off int")
+    per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "more", "off")).alias("found")).withColumnRenamed("sub", "_sub")
     pieces = texts.join(per_text, "id").where("sub = _sub").select("id", "sub", "body", "found").mapInArrow(cut_pieces, PIECE)
-    # local finds are dealt by id, what goes on by its anchor; one exchange holds both
-    dealt = pieces.withColumn("part", F.when(F.col("piece").isNull(), F.xxhash64("id")).otherwise(F.col("h"))).repartition("part").sortWithinPartitions("h").drop("part")
+    # removed bytes are dealt by their text, what goes on by its anchor; one exchange holds both
+    dealt = pieces.repartition(F.when(F.col("piece").isNull(), F.xxhash64("id")).otherwise(F.col("h"))).sortWithinPartitions("h")
 
     def after(batches):
         import pyarrow.compute as pc
