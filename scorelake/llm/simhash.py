@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -167,10 +167,13 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are their component's least doc_id; rows without doc_id stay where their fingerprint has no other."""
-    found = components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component: that of its least doc_id, of repeated ones the first by text. Rows without doc_id stay."""
+    found = cut(components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if found.where("n > 1").limit(1).count():  # without repeated ids there is nothing to choose, and no need to sort texts
+        order = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
