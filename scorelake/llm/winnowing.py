@@ -7,7 +7,7 @@ share holds a chosen hash in both; runs under K tokens are never matched.
 
 Defined cases: fewer than K tokens hash as one short gram, fewer than WINDOW grams are one window; null, empty and
 token-free texts have the empty fingerprint. Two empty fingerprints have likeness 1, one empty and one not 0. Rows with
-equal doc_id follow each other by text. Extra columns are ignored.
+equal doc_id follow each other by text, rows without doc_id come last. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,26 +62,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     deals the texts to their slices, a window in each finds the next row, and the last row of a slice takes the first of
     the next slice: that join has a row per slice.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows, cuts = docs.agg(F.count("*"), F.percentile_approx(key, [i / QUANTILES for i in range(QUANTILES + 1)], 10000)).first()
+    rows, cuts = docs.agg(F.count("*"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10000)).first()
     if not rows:
         return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    cuts = sorted(set(cuts))
+    cuts = sorted(set(cuts or [0]))
     per = max(1, rows // len(cuts) // SLICE_ROWS)
     low = F.array(*[F.lit(c) for c in cuts])
-    width = F.array(*[F.lit(max(1, -(-(b - a) // per))) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1])])
-    at = F.greatest(F.size(F.filter(low, lambda c: c <= F.col("_key"))) - 1, F.lit(0))
-    own = Window.partitionBy("_slice").orderBy(F.col("_key").desc(), "text")
-    dealt = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"))
-        .withColumn("_at", at)
-        .withColumn("_slice", F.expr("_at") * per + F.least(F.lit(per - 1), F.floor((F.col("_key") - F.get(low, F.col("_at"))).cast("double") / F.get(width, F.col("_at"))).cast("int")))
-        .drop("_at", "_key_")
-        .withColumn("_row", F.row_number().over(own))
-        .withColumn("next_text", F.lead("text").over(own))
-    )
+    width = F.array(*[F.lit(max(1.0, (b - a) / per)) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1])])
+
+    def sliced(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_at", F.greatest(F.size(F.filter(low, lambda c: c <= F.col("doc_id"))) - 1, F.lit(0)))
+        inside = F.floor((F.col("doc_id").cast("double") - F.get(low, F.col("_at")).cast("double")) / F.get(width, F.col("_at")))
+        return df.withColumn("_slice", F.col("_at") * per + F.coalesce(F.least(F.lit(per - 1), inside).cast("int"), F.lit(0))).drop("_at")
+
+    own = Window.partitionBy("_slice").orderBy(F.col("doc_id").desc(), "text")
+    dealt = sliced(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("_row", F.row_number().over(own)).withColumn("next_text", F.lead("text").over(own))
     inner = dealt.where("next_text is not null").select("doc_id", "text", "next_text")
-    slices = docs.select(key.alias("_key")).withColumn("_at", at).withColumn("_slice", F.expr("_at") * per + F.least(F.lit(per - 1), F.floor((F.col("_key") - F.get(low, F.col("_at"))).cast("double") / F.get(width, F.col("_at"))).cast("int"))).select("_slice").distinct()
+    slices = sliced(docs.select("doc_id")).select("_slice").distinct()
     whole = Window.orderBy(F.col("_slice").desc())
     follow = slices.withColumn("_next", F.lead("_slice").over(whole)).withColumn("_next", F.coalesce("_next", F.max("_slice").over(Window.partitionBy())))
     heads = dealt.where("_row = 1").select(F.col("_slice").alias("_next"), F.col("text").alias("next_text"))
