@@ -1,6 +1,5 @@
-import datetime  # noqa: F401
-
 import pytest
+from pyspark.sql import functions as F
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -9,11 +8,8 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 def make_docs(spark):
     """make_docs([(doc_id, text), ...], **extra columns' constants): a table like documents."""
 
-    def make(rows, lang="en", **extra):
-        from pyspark.sql import functions as F
-
-        rows = [(i, t, lang if len(r) < 1 else r[0] if r else lang, "src0", len(t or "")) for i, t, *r in rows]
-        df = spark.createDataFrame(rows, DOC_SCHEMA)
+    def make(rows, **extra):
+        df = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], DOC_SCHEMA)
         for k, v in extra.items():
             df = df.withColumn(k, F.lit(v))
         return df
