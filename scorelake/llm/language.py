@@ -106,9 +106,13 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model, from n-gram counts made on the executors: a row for each language and bucket reaches the driver."""
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    first = known.select("lang", "doc_id").withColumn("r", F.row_number().over(own)).where(F.col("r") <= sample).select("doc_id").distinct()
+    # in two steps, the first over 64 parts of each language, lest a common language's rows meet in one task
+    first = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= sample).drop("r")
+    first = first.select("doc_id").distinct()
     rows = known.join(F.broadcast(first), "doc_id").select("lang", "text")  # at most SAMPLE ids a language are broadcast
 
     def count(batches):
