@@ -30,6 +30,8 @@ from .common import table
 LENGTH, SEED = 100, 20
 #: Documents above this size are cut into tiles that overlap by a window.
 TILE = 1 << 23
+#: Texts are cut into pieces together up to so many bytes, which bounds the arrays over their windows.
+TOGETHER = 2_000_000
 LAST = 2**63 - 1
 BASE = 0x100000001B3
 
@@ -232,12 +234,15 @@ def cut_pieces(batches):
     """(id, sub, body, found: list of lo, more, off) to pieces, settled within batches."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def pieces():
         for whole in batches:
-            for s in range(0, whole.num_rows, 4000):
-                b = whole.slice(s, 4000)
-                n = np.diff(b.column(3).offsets.to_numpy())
+            size, s = np.cumsum(pc.binary_length(whole.column(2)).to_numpy(zero_copy_only=False)), 0
+            while s < whole.num_rows:
+                stop = max(s + 1, int(np.searchsorted(size, (size[s - 1] if s else 0) + TOGETHER, side="right")))
+                b, s = whole.slice(s, stop - s), stop
+                n = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False)
                 found = b.column(3).flatten()
                 lo, more, off = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
                 if not len(lo):
