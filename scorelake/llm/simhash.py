@@ -166,9 +166,10 @@ def components(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its least doc_id, of repeated ones the first by text. Rows without doc_id stay."""
-    found = cut(components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+def keep_one(docs: DataFrame, grouped=components) -> DataFrame:
+    """One row of each component: that of its least doc_id, of repeated ones the first by text. Rows without doc_id stay.
+    grouped(docs) gives the components: doc_id, component_id."""
+    found = cut(grouped(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
     kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if found.where("n > 1").limit(1).count():  # without repeated ids there is nothing to choose, and no need to sort texts
         order = Window.partitionBy("doc_id").orderBy("text")
