@@ -4,8 +4,8 @@ The patterns find assignments, access keys and hexadecimal runs. The battery tak
 the base64 alphabets that holds a digit and a letter, infers its encoding (hexadecimal, base32, letters and digits, base64)
 and tests it against uniform draws from that alphabet: chi-squared of the symbol counts, runs above and below the middle,
 serial correlation at lag 1. Three times the least p-value is the run's p-value. Over all runs of the table, within each
-encoding and length band, the Benjamini-Hochberg procedure at level FDR rejects uniformity; runs that are long enough for
-the tests to have power and are not rejected are marked `random`. P-values are kept in 1/1000 steps of their logarithm, so
+encoding and length band, the Benjamini-Hochberg procedure at level FDR rejects uniformity; runs that are not rejected
+are marked `random`. Where runs are too short for the tests to have power, the level rises as they get shorter. P-values are kept in 1/1000 steps of their logarithm, so
 the procedure needs a table of counts whose size does not depend on the number of rows.
 
 Defined cases: a null text is empty; texts without finds give counts 0, an empty span list and its digest; rows with equal
@@ -23,7 +23,7 @@ from .common import staged, table
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"(?:[A-Za-z0-9+/_-]{20,}={0,6}|[A-Za-z0-9+/_-]{14,19}={1,6})"
 KINDS = ("assign", "access", "hex", "random")
 #: Least lengths: of an assigned value, of the other matches.
 LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
@@ -37,8 +37,10 @@ ENCODINGS = (
     ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^[A-Za-z0-9]+=*$", 28),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+=*$", 28),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+=*$", 28),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", r"^[A-Za-z0-9+/_-]+=*$", 28),
 )
-FDR = 0.05
+#: The level; runs shorter than the tests have power for are rejected at FDR x (that length / theirs) ^ STRICTER, which makes up for it.
+FDR, STRICTER = 0.05, 5
 #: Prefix sums go by blocks of so many matches.
 BLOCK = 512
 NONE = "cast(array() as array<struct<start:int,kind:int,end:int,piece:string>>)"
@@ -99,8 +101,8 @@ def serial_test(s: F.Column) -> F.Column:
 
 
 def tested(runs: F.Column) -> F.Column:
-    """The spans for which an encoding fits, with band (encoding and length), powered (whether the tests have power at
-    the length) and bin (the step of the p-value's logarithm) added."""
+    """The spans for which an encoding fits, with band (encoding and length; of short runs each length), strict (by how much
+    the level rises at the length) and bin (the step of the p-value's logarithm) added."""
     own = "start kind end piece "
     fit = lambda r: F.coalesce(*[F.when(r["piece"].rlike(rx), F.struct(F.lit(name).alias("enc"), F.lit(letters).alias("letters"), F.lit(float(power)).alias("power"))) for name, letters, rx, power in ENCODINGS])
     after = lambda v: F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1)))
@@ -117,8 +119,8 @@ def tested(runs: F.Column) -> F.Column:
         lambda r: with_fields(r, own + "e n", p=3 * F.least(chi_squared(r), runs_test(r), serial_test(r))),
         lambda r: with_fields(
             r, own,
-            band=F.concat_ws(":", r["e"]["enc"], F.least(F.lit(6), F.floor(F.log2(r["n"] / 16)).cast("int"))),
-            powered=r["n"] >= r["e"]["power"],
+            band=F.when(r["n"] < r["e"]["power"], F.concat_ws(":", r["e"]["enc"], F.lit("short"), r["n"].cast("int"))).otherwise(F.concat_ws(":", r["e"]["enc"], F.least(F.lit(6), F.floor(F.log2(r["n"] / 16)).cast("int")))),
+            strict=F.pow(F.greatest(F.lit(1.0), r["e"]["power"] / r["n"]), STRICTER),
             bin=F.floor(-1000 * F.log10(F.least(F.lit(1.0), F.greatest(r["p"], F.lit(1e-12))))).cast("int"),
         ),
     )
@@ -130,11 +132,11 @@ def tested(runs: F.Column) -> F.Column:
 
 def thresholds(runs: DataFrame, fdr: float = FDR) -> DataFrame:
     """band, reject_from: the least step that Benjamini-Hochberg rejects; steps grow as p-values fall. Its input is counted
-    by band and step first: 42 x 12,001 rows at most, whatever the table's size."""
-    counts = runs.groupBy("band", "bin").agg(F.count("*").alias("n"))
+    by band and step first: 137 x 12,001 rows at most, whatever the table's size."""
+    counts = runs.groupBy("band", "bin").agg(F.count("*").alias("n"), F.min("strict").alias("strict"))
     up = Window.partitionBy("band").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("rank", F.sum("n").over(up)).withColumn("m", F.sum("n").over(Window.partitionBy("band")))
-    return ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 1000) <= fdr * F.col("rank") / F.col("m")).groupBy("band").agg(F.min("bin").alias("reject_from"))
+    return ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 1000) <= fdr * F.col("strict") * F.col("rank") / F.col("m")).groupBy("band").agg(F.min("bin").alias("reject_from"))
 
 
 def runs_of(text: str) -> F.Column:
@@ -147,9 +149,10 @@ def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
     body = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     low = F.lower(F.col("_text"))
     some = F.col("_text").rlike(RUN)
-    limits = thresholds(body.where(some).select(F.explode_outer(runs_of("_text")).alias("r")).select("r.band", "r.bin").where("bin is not null"), fdr).collect()  # 42 rows at most
-    from_band = lambda band: F.coalesce(*[F.when(band == r.band, F.lit(r.reject_from)) for r in limits], F.lit(1 << 30))
-    marked = F.transform(F.filter(runs_of("_text"), lambda s: s["powered"] & (s["bin"] < from_band(s["band"]))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["piece"].alias("piece")))
+    limits = thresholds(body.where(some).select(F.explode_outer(runs_of("_text")).alias("r")).select("r.band", "r.bin", "r.strict").where("bin is not null"), fdr).collect()  # 137 rows at most
+    froms = F.create_map(*[F.lit(x) for r in limits for x in (r.band, r.reject_from)]) if limits else None
+    from_band = lambda band: F.coalesce(F.try_element_at(froms, band), F.lit(1 << 30)) if limits else F.lit(1 << 30)
+    marked = F.transform(F.filter(runs_of("_text"), lambda s: s["bin"] < from_band(s["band"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["piece"].alias("piece")))
     none = F.expr(NONE)
     word = F.lit(False)
     for w in WORDS:

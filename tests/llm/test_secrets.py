@@ -40,3 +40,25 @@ def test_redaction_and_empty_table(make_docs):
     got = {r.doc_id: r.text for r in s.redact(docs).collect()}
     assert got == {1: "a [secret] b", 2: "clean", 3: None, 4: "[secret] [secret]"}
     assert s.report(docs.where(F.lit(False))).count() == 0
+
+
+def test_named_padded_mixed_and_short_values_are_tested(make_docs):
+    r = random.Random(2)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    kinds = {
+        "sig=": lambda: "sig=" + say(alnum + "+/", 64),
+        "aws_key=": lambda: "aws_key=" + say(alnum, 40),
+        "mixed": lambda: say(alnum, 20) + "+/" + say(alnum + "+/-_", 40) + "-_",
+        "128 bits": lambda: say(alnum + "+/", 22) + "==",
+        "short": lambda: say(alnum, 22),
+    }
+    rows = [(1000 * k + i, f"see {make()} end") for k, make in enumerate(kinds.values()) for i in range(60)]
+    rows += [(9000 + i, f"see abcabcabc{i % 10}abcabcabc{i % 10}ab and aaaaaaaaaaaaaaaaaaaa{i % 10}1111") for i in range(60)]
+    docs = make_docs(rows)
+    got = {g.doc_id: g for g in s.report(docs).collect()}
+    for k, name in enumerate(kinds):
+        assert sum(got[1000 * k + i].n_random > 0 for i in range(60)) >= 40, name
+    assert sum(got[9000 + i].n_random for i in range(60)) == 0
+    text = {x.doc_id: x.text for x in s.redact(docs).where("doc_id < 60").collect()}
+    assert sum(t == "see sig=[secret] end" for t in text.values()) >= 40
