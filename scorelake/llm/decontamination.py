@@ -112,18 +112,23 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     near = probes.join(small(index, n_index), ["number", "block", "value"]).dropDuplicates(["doc_id", "number", "start", "window"])
     near = near.join(small(marked, n_items), "number").withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")).where(F.col("hamming") <= RADIUS)
 
-    return verified(near, most).where(F.col("similarity") >= threshold - 1e-12).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.col("similarity").desc(), "start"))).where("_r = 1").select("doc_id", "item_id", F.col("start").alias("word_start"), "hamming", "similarity")
+    return verified(near, weights, most, threshold).where(F.col("similarity") >= threshold - 1e-12).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.col("similarity").desc(), "start"))).where("_r = 1").select("doc_id", "item_id", F.col("start").alias("word_start"), "hamming", "similarity")
 
 
-def verified(near: DataFrame, most) -> DataFrame:
+def verified(near: DataFrame, weights: DataFrame, most, threshold: float) -> DataFrame:
     """Adds the exact weighted Jaccard similarity of window and own (the item's weighted shingles)."""
     times = lambda h: F.size(F.filter("window", lambda x: x == h))
     shared = F.aggregate(F.array_distinct("own"), F.lit(0.0), lambda s, o: s + o["w"] * F.least(times(o["gram"]), F.size(F.filter("own", lambda x: x["gram"] == o["gram"]))))
     known = F.aggregate(F.array_distinct("own"), F.lit(0.0), lambda s, o: s + o["w"] * times(o["gram"]))
     n_known = F.aggregate(F.array_distinct("own"), F.lit(0), lambda s, o: s + times(o["gram"]))
-    # shingles of the window that are not in this item weigh as if in one item; that bounds the similarity from below
-    near = near.withColumn("_shared", shared).withColumn("_sum", known + (F.size("window") - n_known) * F.log(most) + F.col("whole"))
-    return near.withColumn("similarity", F.col("_shared") / (F.col("_sum") - F.col("_shared")))
+    # no shingle weighs less than one that is in all items, so windows beyond this bound can't pass
+    near = near.withColumn("_shared", shared).withColumn("_least", known + (F.size("window") - n_known) * F.log(F.lit(2.0)) + F.col("whole"))
+    near = near.where(F.col("_shared") >= threshold * (F.col("_least") - F.col("_shared")) - 1e-9)
+    # the window's own weight: of its shingles in any item as the table has it, the greatest of the others
+    grams = near.withColumn("gram", F.explode_outer("window")).join(weights, ["q", "gram"], "left")
+    key = ("doc_id", "number", "start", "window")
+    sums = grams.groupBy(*key).agg(F.first("item_id").alias("item_id"), F.first("hamming").alias("hamming"), F.first("whole").alias("whole"), F.first("_shared").alias("_shared"), F.sum(F.coalesce("w", F.log(most))).alias("_weight"))
+    return sums.withColumn("similarity", F.col("_shared") / (F.col("_weight") + F.col("whole") - F.col("_shared")))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

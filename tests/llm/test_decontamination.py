@@ -60,3 +60,14 @@ def test_clean_keeps_the_rest_and_empty_tables(spark, make_docs):
     assert sorted(str(r.doc_id) for r in d.clean(docs, items).collect()) == ["2", "3", "None"]
     assert d.clean(docs, items.where(F.lit(False))).count() == 4
     assert d.contaminated(docs.where(F.lit(False)), items).count() == 0
+
+
+def test_shingles_of_other_items_have_their_own_weight(spark, make_docs):
+    n = 400
+    template = ["r34", "r35", "r36", "r37", "t0", "t1", "t2", "t3", "t4", "t5"]  # 6 shingles, in half of the items
+    items = [(0, " ".join(f"r{i}" for i in range(44)))]  # 40 shingles of its own
+    items += [(i, " ".join([*(template if i % 2 else []), *(f"i{i}x{k}" for k in range(8))])) for i in range(1, n)]
+    text = " ".join([*(f"r{i}" for i in range(38)), *template[4:]])
+    w, w_template = math.log(1 + n), math.log(1 + n / (n // 2))
+    (row,) = d.contaminated(make_docs([(1, text)]), spark.createDataFrame(items, "item_id long, text string")).where("item_id = 0").collect()
+    assert abs(row.similarity - 34 * w / (40 * w + 6 * w_template)) < 1e-9 and row.similarity > 0.8
