@@ -1,6 +1,8 @@
 """License scans by sentence rules: sentences become identifiers, identifier sequences are matched against ordered rules.
 
-A text is cut into sentences at line ends and after sentence marks; sentences are normalised (lower case, runs of other than
+A text is cut into parts at line ends and after sentence marks; parts that follow each other without a blank line are joined as
+long as they begin a known sentence, so that wrapped lines and comment blocks count as the sentences they hold, and other lines
+up to a mark or blank line as one sentence. Sentences are normalised (lower case, runs of other than
 letters, digits, dots within numbers and plus signs become one space) and looked up among known licence sentences. Holders
 and years of a copyright line are dropped. The identifiers found, in order, are matched against the rules: a rule fires
 where its identifiers follow each other with at most GAP sentences between two; the first rule in the list takes its
@@ -73,23 +75,52 @@ JUNK = re.compile(r"(?<!\d)\.|\.(?!\d)|[^\w.+]+|_+")
 YEARS = re.compile(r"^(?:\(c\) |© )?copyright\b.*\b(?:19|20)\d\d\b.*")
 
 
+COMMENT = re.compile(r"^[\s/*#;%!<>|-]+")
+
+
 def normal(sentence: str) -> str:
-    s = sentence.strip().lower()
+    s = COMMENT.sub("", sentence.strip().lower())
     if YEARS.match(s):
         return "copyright"
     return " ".join(JUNK.sub(" ", s).split())
 
 
 KNOWN = {v: k for k, v in SENTENCES.items()}
+#: What a known sentence may begin with, by words.
+BEGINS = {" ".join(v.split()[:n]) for v in KNOWN for n in range(1, len(v.split()) + 1)}
 
 
 def sentences(text: str):
     """(identifier, ordinal of the sentence, start, end) of the known sentences."""
-    out = []
-    for n, m in enumerate(CUT.finditer(text)):
-        k = KNOWN.get(normal(m.group()))
-        if k:
-            out.append((k, n, m.start(), m.end()))
+    parts = [(normal(m.group()), m.start(), m.end()) for m in CUT.finditer(text)]
+
+    def parted(i: int) -> bool:
+        """Whether a blank line (of a comment, too) stands before or at part i."""
+        if not i or i >= len(parts):
+            return True
+        (_, _, before), (words, start, end) = parts[i - 1], parts[i]
+        breaks = text.count("\n", before, start)
+        return breaks > 1 or (breaks == 1 and not words and text[end : end + 1] in ("", "\n"))
+
+    out, i, n, running = [], 0, 0, False
+    while i < len(parts):
+        joined, j, found = "", i, None
+        while j < len(parts) and (j == i or not parted(j)):
+            joined = f"{joined} {parts[j][0]}".strip()
+            if joined in KNOWN:
+                found = KNOWN[joined], j
+            if joined not in BEGINS:
+                break
+            j += 1
+        if found:
+            n += running
+            out.append((found[0], n, parts[i][1], parts[found[1]][2]))
+            i, n, running = found[1] + 1, n + 1, False
+            continue
+        running = True
+        if text[parts[i][2] - 1] in ".!?;:" or parted(i + 1):
+            n, running = n + 1, False
+        i += 1
     return out
 
 

@@ -36,3 +36,53 @@ def test_a_sentence_serves_one_rule():
     f = [("mit-grant", 0, 0, 1), ("mit-notice", 1, 2, 3), ("mit-grant", 2, 4, 5)]
     assert x.licences(f) == [("MIT", 0, 3), ("MIT", 4, 5)]
     assert x.licences([("bsd-grant", 0, 0, 1), ("bsd-source", 9, 2, 3)]) == [("unclassified", 0, 1), ("unclassified", 2, 3)]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_texts_and_comment_blocks(make_docs):
+    want = {"MIT": MIT, "GPL-3.0-or-later": GPL, "BSD-2-Clause": BSD}
+    for name, text in want.items():
+        for mark in ("", "# ", " * ", "// "):
+            t = "".join(mark + line for line in text.splitlines(True))
+            hits = [h for h in x.licences(x.sentences(t)) if h[0] != "unclassified"]
+            assert [h[0] for h in hits] == [name], (name, mark)
+            assert t[hits[0][2] - 1] == "."
+    (row,) = x.scan(make_docs([(1, MIT)])).collect()
+    assert "MIT" in row.licences
