@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where the session names none, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir, or the one set on the context (as tests do); it must be there, as a
+    folder of one machine would lose what others wrote."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named and not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    folder = named or sc.getCheckpointDir()
+    if not folder and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        import tempfile  # one machine is the whole cluster then
+
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str):
+    """Column names that the table does not have, made from these; one for one name, else a list."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]
+
+
 def staged(first: F.Column, *steps) -> F.Column:
     """The last step's value; each step maps the struct or value before it. A value is computed once however often the next
     step uses it, and lambdas stay side by side: nested ones take the analyzer exponential time."""
