@@ -1,15 +1,17 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
 Learned from labelled rows outside the held-out fold: for each language the frequencies of hashed character n-grams of its
-words, over SAMPLE rows a language at most (taken in the order of a hash of doc_id), and the scripts its words use, over the
-same rows. A word's score in a language is its n-grams' mean log probability times the square root of their number. Only
+words, over SAMPLE distinct texts a language at most (a share of each language's rows by a hash of doc_id and text, then the
+least hashes), and the scripts its words use, over the same rows. A word's score in a language is its n-grams' mean log probability times the square root of their number. Only
 languages that use the script of a word's first letter compete for it; where no language does, all do and the word scores
 the same in each. Viterbi then finds the labelling of a text's words that maximises the sum of scores less SWITCH for each
 change of language: runs of one label are the spans. The prediction is the language of most letters; its score is the share
 of letters in its spans, times the posterior of its words' summed scores against the other languages'.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; null lang or doc_id is never learned from;
-without labelled rows every text is `und`; ties go to the language that sorts first; an empty table gives an empty table.
+Defined cases: null texts and texts without a letter (number forms such as one half or a Roman eight are none) are `und` with
+score 0; null lang or doc_id is never learned from; rows repeated with equal doc_id and text are learned from once and
+predicted each; without labelled rows every text is `und`; ties go to the language that sorts first; very long texts are
+labelled whole; an empty table gives an empty table; extra columns are ignored. The model has BUCKETS numbers a language.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 import pickle
 import re
 
+import sys
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +29,12 @@ from .words import grams, numbered
 
 #: Documented bound of the training sample, in rows a language.
 SAMPLE = 600
+#: By how much more than SAMPLE rows a language the hash lets through, so that the least of them make it up.
+MARGIN = 1.25
 SIZES, BUCKETS, SWITCH, SMOOTH = (1, 2, 3, 4), 1 << 16, 8.0, 0.5
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters: what Python's words hold besides digits, underscores and the other numbers.
+NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Script ranges: first code point of each range and its script, in ascending order.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -76,7 +84,7 @@ class Model:
         start = (ends - n)[order]
         alive = np.searchsorted(-n[order], -np.arange(n.max(initial=0)), side="left") if len(n) else []
         best = np.zeros((len(n), k))
-        came = np.zeros((len(ids), k), np.int8)
+        came = np.zeros((len(ids), k), np.int8 if k < 128 else np.int32)
         cells = np.arange(k)
         for t, m in enumerate(alive):
             top = best[:m].argmax(1)
@@ -85,7 +93,7 @@ class Model:
             rows = start[:m] + t
             came[rows] = np.where(stay, cells, top[:, None])
             best[:m] = np.where(stay, best[:m], switch[:, None]) + scores[rows]
-        labels = np.zeros(len(ids), np.int8)
+        labels = np.zeros(len(ids), np.int32)
         now = best.argmax(1)
         for t in range(len(alive) - 1, -1, -1):
             m = alive[t]
@@ -106,14 +114,12 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model, from n-gram counts made on the executors: a row for each language and bucket reaches the driver."""
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # in two steps, the first over 64 parts of each language, lest a common language's rows meet in one task
-    first = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
-    for by in (["lang", "part"], ["lang"]):
-        first = first.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= sample).drop("r")
-    first = first.select("doc_id").distinct()
-    rows = known.join(F.broadcast(first), "doc_id").select("lang", "text")  # at most SAMPLE ids a language are broadcast
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # the count of a language's rows sets its share, so that few rows of a common language meet in the window's task
+    share = known.groupBy("lang").agg((MARGIN * sample / F.count("*")).alias("share"))
+    drawn = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) * 2.0**-53
+    some = known.join(F.broadcast(share), "lang").where(drawn < F.col("share")).dropDuplicates(["lang", "h"])  # a row a language
+    rows = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample).select("lang", "text")
 
     def count(batches):
         import numpy as np
@@ -138,7 +144,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     langs = sorted(counts["lang"].unique())
     n = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
-    n[counts["key"].to_numpy(), [langs.index(x) for x in counts["lang"]]] = counts["n"].to_numpy()
+    n[counts["key"].to_numpy(), np.searchsorted(langs, counts["lang"].to_numpy(str))] = counts["n"].to_numpy()
     p = (n[:BUCKETS] + SMOOTH) / (n[:BUCKETS].sum(0) + SMOOTH * BUCKETS)
     scripts = n[BUCKETS:]
     return Model(langs, np.log(p), scripts >= 0.01 * np.maximum(scripts.sum(0), 1))

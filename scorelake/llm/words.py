@@ -22,33 +22,21 @@ def numbered(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]
     return np.array(ids, np.int64), ends, list(number)
 
 
-def grams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = False, longest: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of each character n-gram of <word>, n in sizes; with whole, also one for the word itself.
-
-    Words longer than `longest` characters are cut into pieces of that length, whose grams all belong to the word.
-    """
-    pieces, owner = [], []
-    for i, w in enumerate(words):
-        if len(w) <= longest:
-            pieces.append(w)
-            owner.append(i)
-        else:
-            for s in range(0, len(w), longest):
-                pieces.append(w[s : s + longest])
-                owner.append(i)
-    if not pieces:
+def grams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of each character n-gram of <word>, n in sizes; with whole, also one for the word itself."""
+    if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = np.array(owner, np.int64)
-    cp = np.frombuffer(("<" + "><".join(pieces) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 2
+    own = np.arange(len(words))
+    cp = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     start = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(pieces)), size)
+    of = np.repeat(own, size)
     left = np.repeat(start + size, size) - np.arange(len(cp))  # characters to the piece's end
     at, to = [], []
     h = np.zeros(len(cp), np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, max(sizes) + 1):
-            shifted = cp if n == 1 else np.concatenate([cp[n - 1 :], np.zeros(n - 1, np.uint64)])
+            shifted = cp if n == 1 else np.concatenate([cp[n - 1 :], np.zeros(min(n - 1, len(cp)), np.uint64)])
             h = (h ^ shifted) * MIX
             h ^= h >> np.uint64(29)
             if n in sizes:

@@ -55,3 +55,48 @@ def test_no_labels_and_empty(make_docs):
     assert g.fit(docs) is None
     assert [(r.lang_pred, r.score) for r in g.identified(docs, None).collect()] == [("und", 0.0)]
     assert g.identified(docs.where(F.lit(False)), None).count() == 0
+
+
+def test_numbers_are_no_letters(make_docs):
+    rows = corpus()
+    docs = make_docs([(i, x) for i, x, _ in rows])
+    docs = docs.join(docs.sparkSession.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, l string"), "doc_id").drop("lang").withColumnRenamed("l", "lang")
+    model = g.fit(docs)
+    odd = make_docs([(1, "½ ² Ⅷ ①"), (2, "①the½of"), (3, "_ 12 ٣")])
+    got = {r.doc_id: r for r in g.identified(odd, model).collect()}
+    assert (got[1].lang_pred, got[1].score, got[3].lang_pred) == ("und", 0.0, "und") and got[2].lang_pred == "en"
+    assert [(s.start, s.end) for s in got[2].spans] == [(1, 7)]
+
+
+def test_many_languages_long_texts_and_repeated_rows(spark, make_docs):
+    alphabet = "bcdfghjklmnpqrstvwxz"
+    word = lambda k: f"{alphabet[k % 20]}{alphabet[k // 20]}a{alphabet[(k * 7) % 20]}"
+    rows = [(i, " ".join([word(i % 300)] * 6), f"l{i % 300:03d}") for i in range(1500)]
+    docs = spark.createDataFrame([(i, x, y, "s", 1) for i, x, y in [*rows, *rows[:40], *rows[:40]]], "doc_id long, text string, lang string, source string, n_chars long")
+    model = g.fit(docs)
+    assert len(model.langs) == 300
+    got = {r.doc_id: r.lang_pred for r in g.identified(docs, model).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] == y for i, y in held) > 0.95 * len(held)
+    long = (word(5) + " ") * 60_000 + "q" * 5000
+    (row,) = g.identified(make_docs([(1, long)]), model).collect()
+    assert row.lang_pred == "l005" and row.spans[-1].end == len(long)
+
+
+def test_word_scores_match_plain_sums():
+    r = np.random.default_rng(2)
+    m = g.Model(["a", "b", "c"], r.normal(-9, 2, (g.BUCKETS, 3)), r.random((len(g.SCRIPTS), 3)) < 0.7)
+    words = ["the", "что", "x" * 90, "漢", "Ω"]
+    names = sorted({s for _, s in g.SCRIPTS})
+    for w, got in zip(words, m.word_scores(words)):
+        cells = []
+        for n in g.SIZES:
+            for i in range(len(w) + 2 - n + 1):
+                cells.append(n)
+        _, to = g.grams([w], g.SIZES, g.BUCKETS)
+        assert len(to) == len(cells)
+        raw = m.logp[to].sum(0) / np.sqrt(len(to))
+        script = [s for c, s in g.SCRIPTS if c <= ord(w[0])][-1]
+        may = m.uses[names.index(script)]
+        want = np.where(may, raw - raw.max(), -60.0) if may.any() else np.zeros(3)
+        assert np.allclose(got, want)
