@@ -1,15 +1,19 @@
 """Toxicity scores: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy (as in fastText).
 
-A word is the mean of the vectors of its hashed character n-grams and its own; a text is the mean of its words; two linear
-outputs and a softmax give the score. Unseen misspellings share n-gram vectors with the words they stem from. Since both
-means are linear, a trained model gives each word one logit, a text the mean of its words' logits.
-
-Training is on labelled rows outside the held-out fold, SAMPLE of them at most, taken in the order of a hash of doc_id; all
+A word is the mean of the vectors of its hashed character n-grams and its own; a text is the mean of its words and of PRIOR
+words of a zero vector, which keep few words from deciding a short text. A linear softmax of two classes depends on the
+difference of its two inputs only, so the model holds that one difference: one output vector and a sigmoid, the same function.
+Unseen misspellings share n-gram vectors with the words they stem from. Since the means are linear, a trained model gives each
+word one logit, a text the mean of its words' logits.
+
+Training is on labelled rows outside the held-out fold, SAMPLE documents at most, taken in the order of a hash of doc_id.
+Executors make their bags; the driver gets sparse rows, of BUCKETS cells at most whatever a text's length, and no text. All
 rows are scored. Words are lower-cased runs of letters, marks, digits and apostrophes.
 
 Defined cases: a null, empty or word-free text scores the model's bias; rows with null labels or ids are not learned from;
-a doc_id with several labels is toxic if any says so; without labels of both classes every score is 0; an empty table gives
-an empty table; extra columns are ignored by scored() and kept by keep_clean().
+a doc_id with several labels is toxic if any says so, one with several texts is learned from by the least of them; without
+labels of both classes every score is 0; very long texts are scored whole; an empty table gives an empty table; extra columns
+are ignored by scored() and kept by keep_clean().
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Model:
-    """vectors: bucket x DIM; out: DIM; bias. logit() is the difference of the two softmax inputs."""
+    """vectors: bucket x DIM; out: DIM; bias. Their product is the difference of the softmax's two inputs."""
 
     def __init__(self, vectors=None, out=None, bias=0.0):
         self.table, self.bias = (None if vectors is None else vectors @ out), bias
@@ -88,8 +92,8 @@ def bags(texts: list[str]):
     return np.array(ends), np.concatenate(buckets) if buckets else np.zeros(0, np.int32), np.concatenate(weights) if weights else np.zeros(0, np.float32)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Joint gradient descent on the n-gram vectors and the output layer, in shuffled batches. Step sizes follow Adagrad with
+def train(ends, bucket, weight, labels: list[int], seed: int = 7) -> Model:
+    """The model from bags() and the labels. Joint gradient descent on the n-gram vectors and the output layer, in shuffled batches. Step sizes follow Adagrad with
     a floor: a bucket that few rows touch takes small steps, so that rows are not learned by heart."""
     import numpy as np
 
@@ -97,7 +101,6 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         return Model()
     r = np.random.default_rng(seed)
-    ends, bucket, weight = bags(texts)
     vectors = r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = r.choice([-1.0, 1.0], DIM).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -132,9 +135,24 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()  # SAMPLE rows at most, as broadcast
-    rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-    return train(list(rows["text"]), [int(x) for x in rows["toxic"]])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # SAMPLE rows at most
+
+    def bagged(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ends, bucket, weight = bags(b.column(2).to_pylist())
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(x)) for x in (bucket.astype("int32"), weight.astype("float32"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "toxic", "bucket", "weight"])
+
+    import numpy as np
+
+    t = rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(bagged, "doc_id long, toxic int, bucket array<int>, weight array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    if not t.num_rows:
+        return Model()
+    bucket, weight = t.column("bucket").combine_chunks(), t.column("weight").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(bucket.value_lengths().to_numpy(zero_copy_only=False))])
+    return train(ends, bucket.flatten().to_numpy(), weight.flatten().to_numpy(), t.column("toxic").to_pylist())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -37,7 +37,7 @@ def test_held_out_accuracy_and_misspellings(spark, make_docs, rows):
 
 def test_batches_do_not_matter_and_training_repeats(rows):
     texts, y = [r[1] for r in rows[:200]], [r[2] for r in rows[:200]]
-    m, n = t.train(texts, y), t.train(texts, y)
+    m, n = t.train(*t.bags(texts), y), t.train(*t.bags(texts), y)
     assert np.allclose(m.score(texts), n.score(texts))
     assert np.allclose(m.score(texts), np.concatenate([m.score([x]) for x in texts]))
 
@@ -47,3 +47,34 @@ def test_one_class_and_empty(spark, make_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.score for r in t.scored(docs, t.fit(docs, labels)).collect()} == {0.0}
     assert t.scored(docs.where(F.lit(False)), t.Model()).count() == 0
+
+
+def test_bags_and_scores_match_plain_sums():
+    """The definition word by word: means of n-gram vectors, means of words with PRIOR zero words, a softmax of two inputs."""
+    texts = ["Worthless, worthless idiots!", "", None, "a b c don't " * 40, "x" * 500 + " ok"]
+    r = np.random.default_rng(4)
+    vectors, out = r.normal(0, 1, (t.BUCKETS, t.DIM)), r.normal(0, 1, (t.DIM, 2))
+    model = t.Model(vectors, out[:, 1] - out[:, 0], 0.3)
+    ends, bucket, weight = t.bags(texts)
+    for i, text in enumerate(texts):
+        total, words = np.zeros(t.DIM), t.words_of(text)
+        for w in words:
+            _, to = t.grams([w], t.SIZES, t.BUCKETS, whole=True)
+            total += vectors[to].mean(0)
+        z = total / (len(words) + t.PRIOR) @ out + [0, 0.3]
+        want = np.exp(z[1]) / np.exp(z).sum()
+        assert abs(model.score([text])[0] - want) < 1e-9
+        own = slice(ends[i], ends[i + 1])
+        assert np.allclose((vectors[bucket[own]] * weight[own, None]).sum(0), total / (len(words) + t.PRIOR), atol=1e-4)
+        assert len(set(bucket[own].tolist())) == ends[i + 1] - ends[i]
+
+
+def test_repeated_ids_are_learned_from_once_and_long_texts_are_whole(spark, make_docs, rows):
+    labels = spark.createDataFrame([(i, None, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    once, twice = make_docs([(i, x) for i, x, _ in rows]), make_docs([(i, x) for i, x, _ in rows for _ in range(2)])
+    a, b = t.fit(once, labels), t.fit(twice.unionByName(make_docs([(rows[1][0], "~ later text")])), labels)
+    assert np.allclose(a.table, b.table)
+    long = (rows[1][1] + " ") * 2_000
+    x, y = (r.score for r in t.scored(make_docs([(1, long + "idiot worthless pathetic " * 40_000), (2, long)]), a).orderBy("doc_id").collect())
+    assert x > y
+    assert t.fit(once.where(F.lit(False)), labels).table is None
