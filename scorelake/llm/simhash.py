@@ -1,16 +1,18 @@
 """SimHash near-duplicates through an inverted index on byte positions with count filtering.
 
-Fingerprints of 64 bits that differ in at most RADIUS = 2 bits share at least 6 of their 8 bytes, each at its position. A
-posting list per single byte would hold 1/256 of all fingerprints, so the index is kept on what the count filter asks for:
-a posting list for every choice of 6 positions and their bytes, 28 for a fingerprint. Whoever meets there has reached the
-minimum of 6 shared positional bytes, and nobody else is compared; Hamming distances are then verified. A list's members
-differ in 16 bits only, so it holds 65,536 distinct fingerprints at most, whatever the table's size; long lists are joined
-through the 136 masks of up to two of those bits instead of by pairs. Equal fingerprints are one entry. Each list yields a
-star per group, and groups grow together by alternating large and small stars, checkpointed each round.
-
-Defined cases: a null text is empty; texts without words have fingerprint zero, linked like any other; a null doc_id takes
-its fingerprint's component but is never a component's id and carries no link of its own; rows with equal doc_id are one
-node; an empty table gives an empty table; extra columns are ignored by components() and kept by keep_one().
+Fingerprints of 64 bits that differ in at most RADIUS = 2 bits share at least SHARED = 6 of their 8 bytes, each at its
+position. A posting list per single byte would hold 1/256 of all fingerprints, so the index is kept by prefix filtering: of
+the four pairs of positions (0 1) (2 3) (4 5) (6 7), two bytes that differ touch two at most, so a pair that shares 6 bytes
+shares both others, and meets in one of the 6 lists of a fingerprint, each under the bytes of two pairs of positions. In a list, the shared
+positional bytes of each pair are tallied; pairs that reach the minimum are retained and their Hamming distance verified.
+Long lists are joined through the masks of up to two of the 32 bits in which their members may differ, instead of by all
+pairs, and then tallied and verified alike. Equal fingerprints are one entry. Each list yields a star per group, and groups
+grow together by alternating large and small stars, checkpointed each round.
+
+Defined cases: a null text is empty; texts without words have fingerprint zero, linked like any other; very long texts are
+read whole; a null doc_id takes its fingerprint's component but is never a component's id and carries no link of its own;
+rows with equal doc_id are one node; an empty table gives an empty table; extra columns are ignored by components() and kept
+by keep_one(), which keeps every row without doc_id.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 RADIUS, SHINGLE = 2, 3
-#: The two free byte positions of each kind of posting list.
-FREE = list(combinations(range(8), 2))
+#: Positional bytes that fingerprints within the radius share at least.
+SHARED = 8 - RADIUS
+#: The free byte positions of each kind of posting list: those of two of the four pairs.
+FREE = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)]
 #: Lists of up to so many members are compared by pairs.
 PAIRWISE = 128
 
@@ -61,21 +65,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(free: tuple[int, int]) -> list[int]:
-    """All masks of one or two of the bits in two bytes."""
+def tally(differ):
+    """How many positional bytes two fingerprints share, from the bits in which they differ; on arrays of any shape."""
+    import numpy as np
+
+    return (np.ascontiguousarray(differ)[..., None].view(np.uint8) == 0).sum(-1)
+
+
+def masks(free: tuple[int, ...]) -> list[int]:
+    """All masks of one or two of the bits in some bytes."""
     bits = [1 << (8 * byte + b) for byte in free for b in range(8)]
     return bits + [x | y for x, y in combinations(bits, 2)]
 
 
-def stars(fps: list[int], reps: list[int], free: tuple[int, int]) -> list[tuple[int, int]]:
+def stars(fps: list[int], reps: list[int], free: tuple[int, ...]) -> list[tuple[int, int]]:
     """(member, least member) of each group within a posting list; fps are distinct."""
     import numpy as np
 
     if len(fps) == 2:
-        return [(max(reps), min(reps))] if ((fps[0] ^ fps[1]) & (2**64 - 1)).bit_count() <= RADIUS else []
+        differ = (fps[0] ^ fps[1]) & (2**64 - 1)
+        retained = sum(differ >> 8 * b & 255 == 0 for b in range(8)) >= SHARED
+        return [(max(reps), min(reps))] if retained and differ.bit_count() <= RADIUS else []
     v, rep = np.array(fps, np.int64).view(np.uint64), np.array(reps, np.int64)
     if len(v) <= PAIRWISE:
-        i, j = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= RADIUS)
+        i, j = np.triu_indices(len(v), 1)
     else:
         order = np.argsort(v)
         v, rep = v[order], rep[order]
@@ -85,6 +98,10 @@ def stars(fps: list[int], reps: list[int], free: tuple[int, int]) -> list[tuple[
             ends.append(np.nonzero(v[at] == v ^ np.uint64(m))[0])
             ends.append(at[ends[-1]])
         i, j = np.concatenate(ends[::2]), np.concatenate(ends[1::2])
+    differ = v[i] ^ v[j]
+    some = np.nonzero(tally(differ) >= SHARED)[0]
+    some = some[np.bitwise_count(differ[some]) <= RADIUS]
+    i, j = i[some], j[some]
     label = rep.copy()
     while True:
         old = label.copy()
@@ -98,7 +115,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """a, b with b < a: stars of the fingerprints (fp, rep) that each posting list links."""
     whole = (1 << 64) - 1
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keep = [signed(whole & ~((255 << 8 * i) | (255 << 8 * j))) for i, j in FREE]
+    keep = [signed(whole & ~sum(255 << 8 * i for i in free)) for free in FREE]
     postings = F.array(*[F.struct(F.lit(k).cast("byte").alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(keep)])
     rows = nodes.select("fp", "rep", F.explode(postings).alias("p")).select("p.kind", "p.key", "fp", "rep")
     rows = rows.repartition("kind", "key").sortWithinPartitions("kind", "key")
@@ -172,8 +189,8 @@ def keep_one(docs: DataFrame, grouped=components) -> DataFrame:
     found = cut(grouped(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
     kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if found.where("n > 1").limit(1).count():  # without repeated ids there is nothing to choose, and no need to sort texts
-        order = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+        row = fresh(kept, "_row")
+        kept = kept.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1).drop(row)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -64,10 +64,10 @@ def test_long_chains_and_large_lists(spark, monkeypatch):
     fps = list(dict.fromkeys(fps))
     want = brute_components(list(enumerate(fps)))
     assert chain(spark, fps) == want
-    assert dict(s.stars(fps[61:], list(range(61, len(fps))), (0, 1))) is not None
+    assert dict(s.stars(fps[61:], list(range(61, len(fps))), (0, 1, 2, 3))) is not None
     monkeypatch.setattr(s, "PAIRWISE", 4)
     few, many = fps[61:], list(range(61, len(fps)))
-    masks = dict(s.stars([f - (1 << 64) if f >> 63 else f for f in few], many, (0, 1)))
+    masks = dict(s.stars([f - (1 << 64) if f >> 63 else f for f in few], many, (0, 1, 2, 3)))
     own = brute_components(list(zip(many, few)))
     assert {i: masks.get(i, i) for i in many} == own
 
@@ -76,3 +76,23 @@ def test_keep_one_and_empty(make_docs):
     docs = make_docs([(5, "a b c d e"), (2, "A b c d e"), (9, "quite another text here"), (None, "no id"), (2, "A b c d e")])
     assert sorted(str(r.doc_id) for r in s.keep_one(docs).collect()) == ["2", "9", "None"]
     assert s.components(docs.where(F.lit(False))).count() == 0
+
+
+def test_every_pair_of_enough_shared_bytes_meets_and_is_tallied():
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        gone = r.sample(range(8), r.randrange(4))
+        b = a ^ sum(r.randrange(1, 256) << 8 * i for i in gone)
+        assert s.tally(np.array([a ^ b], np.uint64))[0] == 8 - len(gone)
+        meets = [f for f in s.FREE if all(a >> 8 * i & 255 == b >> 8 * i & 255 for i in range(8) if i not in f)]
+        assert meets or len(gone) > 2
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(make_docs):
+    docs = make_docs([(5, "a b c d e"), (5, "a b c d e"), (5, "a b"), (6, "z y x " * 200_000)], _row=1, fp=2, component_id=3, n=4)
+    kept = s.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 6] and all((r._row, r.fp, r.component_id, r.n) == (1, 2, 3, 4) for r in kept)
+    assert s.fingerprint("z y x " * 200_000) == brute_fp("z y x " * 200_000)
