@@ -6,17 +6,21 @@ from scorelake.llm import winnowing as w
 from pyspark.sql import functions as F
 
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-TOKEN = regex.compile(rf"(?V1)[[\p{{L}}\p{{M}}\p{{N}}]--[{UNSPACED}]]{{1,32}}|[{UNSPACED}]")
+TOKEN = regex.compile(rf"(?V1)[[\p{{L}}\p{{M}}\p{{N}}]--[{UNSPACED}]]+|[{UNSPACED}]")
 
 
 def chosen(text):
     t = TOKEN.findall(text.lower())
-    grams = []
-    for i in range(max(len(t) - w.K, 0) + 1 if t else 0):
-        h = 42
-        for x in t[i : i + w.K]:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
-        grams.append((h >> 28, i))
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & (2**64 - 1)
+    hashes, grams, roll = [xxhash.xxh64_intdigest(x.encode(), 42) for x in t], [], 0
+    for j, h in enumerate(hashes):  # the roll: one token enters, one leaves
+        roll = turn(roll, 1) ^ h
+        if j >= w.K:
+            roll ^= turn(hashes[j - w.K], w.K)
+        if j >= w.K - 1:
+            grams.append((roll >> 31, j - w.K + 1))
+    if 0 < len(t) < w.K:
+        grams = [(turn(roll, w.K - len(t)) >> 31, 0)]
     out = []
     for s in range(max(len(grams) - w.WINDOW, 0) + 1 if grams else 0):
         h, i = min(grams[s : s + w.WINDOW], key=lambda x: (x[0], -x[1]))
@@ -62,6 +66,13 @@ def test_slices_of_the_order_do_not_matter(make_docs, monkeypatch):
     monkeypatch.setattr(w, "SLICE_ROWS", 2)
     monkeypatch.setattr(w, "QUANTILES", 5)
     assert run(make_docs(rows)) == whole == brute(rows)
+    monkeypatch.setattr(w, "SLICES", 20)
+    assert run(make_docs(rows)) == whole
+
+
+def test_long_tokens_and_texts(make_docs):
+    rows = [(1, "x" * 100_000 + " tail of words here and there"), (2, "many words " * 30_000), (3, "y " * 200)]
+    assert run(make_docs(rows)) == brute(rows)
 
 
 def test_one_row_and_no_row(make_docs):
