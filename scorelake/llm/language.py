@@ -32,9 +32,10 @@ SAMPLE = 600
 #: By how much more than SAMPLE rows a language the hash lets through, so that the least of them make it up.
 MARGIN = 1.25
 SIZES, BUCKETS, SWITCH, SMOOTH = (1, 2, 3, 4), 1 << 16, 8.0, 0.5
-#: Letters: what Python's words hold besides digits, underscores and the other numbers.
-NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Numbers beyond ASCII that Python counts among the characters of words: they are no letters, and give way to spaces.
+NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+BLANKS = str.maketrans(dict.fromkeys(NUMBERS, " "))
 #: Script ranges: first code point of each range and its script, in ascending order.
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -47,6 +48,13 @@ SCRIPTS = (
 )
 
 
+def letters_of(text: str | None) -> str:
+    """The text with spaces for the numbers that WORD would take."""
+    if not text or text.isascii() or NUMBERS.isdisjoint(text):
+        return text or ""
+    return text.translate(BLANKS)
+
+
 def script_numbers(words: list[str]):
     import numpy as np
 
@@ -128,7 +136,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         for b in batches:
             lang, text = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in sorted(set(lang)):
-                ids, _, words = numbered([WORD.findall((t or "").lower()) for t, x in zip(text, lang) if x == name])
+                ids, _, words = numbered([WORD.findall(letters_of(t).lower()) for t, x in zip(text, lang) if x == name])
                 if not words:
                     continue
                 times = np.bincount(ids, minlength=len(words))
@@ -164,7 +172,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 b = whole.slice(s, 1000)
-                found = [list(WORD.finditer(t or "")) for t in b.column(1).to_pylist()]
+                found = [list(WORD.finditer(letters_of(t))) for t in b.column(1).to_pylist()]
                 if m is None:
                     preds, score, spans = ["und"] * len(found), [0.0] * len(found), [[] for _ in found]
                 else:
