@@ -1,15 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests; DataFrame functions only.
 
 The patterns find assignments, access keys and hexadecimal runs. The battery takes every run of 20 or more characters of
-the base64 alphabets that holds a digit and a letter, infers its encoding (hexadecimal, base32, letters and digits, base64)
-and tests it against uniform draws from that alphabet: chi-squared of the symbol counts, runs above and below the middle,
-serial correlation at lag 1. Three times the least p-value is the run's p-value. Over all runs of the table, within each
-encoding and length band, the Benjamini-Hochberg procedure at level FDR rejects uniformity; runs that are not rejected
-are marked `random`. Where runs are too short for the tests to have power, the level rises as they get shorter. P-values are kept in 1/1000 steps of their logarithm, so
-the procedure needs a table of counts whose size does not depend on the number of rows.
+the base64 alphabets that holds a digit and a letter (padded ones of fewer, too), infers its encoding (hexadecimal, base32,
+letters and digits, base64) and tests it against uniform draws from that alphabet: chi-squared of the symbol counts, runs
+above and below the middle, serial correlation at lag 1. Three times the least p-value is the run's p-value.
+
+A discovery is a run marked `random`; a false one is a run that is none. Random runs have uniform p-values, others small
+ones, so within each encoding and band of lengths the runs with p above a middle value tell how many random ones there are
+(as in Storey's estimate): R. The middle is 0.35 for runs under 28 characters, on which the tests have less power, else 0.2. Of the M runs with p above a cut, M - R x (share of uniform p-values above it) are false, by
+estimate. The cut is the lowest at which these are at most the level FDR of M, or no more than R's standard error; at the middle none is
+false by estimate. What looks uniform to all three tests can't be told apart: of short runs of letters in changing case and digits,
+some that are not random are marked.
+P-values are kept in 1/1000 steps of their logarithm, so the estimate needs a table of counts whose size does not depend on
+the number of rows; the marks need the table's counts, so the battery runs in two passes over the texts.
 
 Defined cases: a null text is empty; texts without finds give counts 0, an empty span list and its digest; rows with equal
-doc_id are each scanned; an empty table gives an empty table; extra columns are kept by scan() and ignored by report().
+doc_id are each scanned; very long texts are scanned whole; an empty table gives an empty table; extra columns are kept by
+scan(), which names its own column `secrets`, with underscores in front if there is one, and by redact(); report() ignores them.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import fresh, staged, table
 
 #: Fixed patterns; the kinds in the order in which equal starts are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,18 +36,22 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 6, "access": 20, "hex": 24, "random": 20}
 #: What a text must hold, in lower case, for an assignment to be there.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Encodings in the order tried: name, alphabet, pattern, length from which the tests have power.
+#: Encodings in the order tried: name, alphabet, pattern.
 ENCODINGS = (
-    ("hex", "0123456789abcdef", r"^[0-9a-f]+$", 24),
-    ("HEX", "0123456789ABCDEF", r"^[0-9A-F]+$", 24),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+=*$", 26),
-    ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^[A-Za-z0-9]+=*$", 28),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+=*$", 28),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+=*$", 28),
-    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", r"^[A-Za-z0-9+/_-]+=*$", 28),
+    ("hex", "0123456789abcdef", r"^[0-9a-f]+$"),
+    ("HEX", "0123456789ABCDEF", r"^[0-9A-F]+$"),
+    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+=*$"),
+    ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^[A-Za-z0-9]+=*$"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+=*$"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+=*$"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", r"^[A-Za-z0-9+/_-]+=*$"),
 )
-#: The level; runs shorter than the tests have power for are rejected at FDR x (that length / theirs) ^ STRICTER, which makes up for it.
-FDR, STRICTER = 0.05, 5
+#: The level of false discoveries; where bands of lengths begin; up to which length runs are short.
+FDR, BANDS, SHORT = 0.05, (20, 24, 28, 40, 64, 128), 28
+#: Steps below which a run counts for R: p above 0.35 for short runs, above 0.2 for others.
+MIDDLE = (456, 699)
+#: Independent tests there would have to be for the combined p-value of uniform runs; measured on runs of 20 to 64 characters.
+TESTS = 3.5
 #: Prefix sums go by blocks of so many matches.
 BLOCK = 512
 NONE = "cast(array() as array<struct<start:int,kind:int,end:int,piece:string>>)"
@@ -101,10 +112,10 @@ def serial_test(s: F.Column) -> F.Column:
 
 
 def tested(runs: F.Column) -> F.Column:
-    """The spans for which an encoding fits, with band (encoding and length; of short runs each length), strict (by how much
-    the level rises at the length) and bin (the step of the p-value's logarithm) added."""
+    """The spans for which an encoding fits, with band (encoding and band of lengths), middle (the step below which it counts
+    for R) and bin (the step of the p-value's logarithm) added."""
     own = "start kind end piece "
-    fit = lambda r: F.coalesce(*[F.when(r["piece"].rlike(rx), F.struct(F.lit(name).alias("enc"), F.lit(letters).alias("letters"), F.lit(float(power)).alias("power"))) for name, letters, rx, power in ENCODINGS])
+    fit = lambda r: F.coalesce(*[F.when(r["piece"].rlike(rx), F.struct(F.lit(name).alias("enc"), F.lit(letters).alias("letters"))) for name, letters, rx in ENCODINGS])
     after = lambda v: F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1)))
     steps = (
         lambda r: with_fields(r, own, e=fit(r), c=F.split(F.regexp_replace(r["piece"], "=+$", ""), "")),
@@ -119,8 +130,8 @@ def tested(runs: F.Column) -> F.Column:
         lambda r: with_fields(r, own + "e n", p=3 * F.least(chi_squared(r), runs_test(r), serial_test(r))),
         lambda r: with_fields(
             r, own,
-            band=F.when(r["n"] < r["e"]["power"], F.concat_ws(":", r["e"]["enc"], F.lit("short"), r["n"].cast("int"))).otherwise(F.concat_ws(":", r["e"]["enc"], F.least(F.lit(6), F.floor(F.log2(r["n"] / 16)).cast("int")))),
-            strict=F.pow(F.greatest(F.lit(1.0), r["e"]["power"] / r["n"]), STRICTER),
+            middle=F.when(r["n"] < SHORT, MIDDLE[0]).otherwise(MIDDLE[1]),
+            band=F.concat_ws(":", r["e"]["enc"], sum((r["n"] >= b).cast("int") for b in BANDS)),
             bin=F.floor(-1000 * F.log10(F.least(F.lit(1.0), F.greatest(r["p"], F.lit(1e-12))))).cast("int"),
         ),
     )
@@ -131,12 +142,14 @@ def tested(runs: F.Column) -> F.Column:
 
 
 def thresholds(runs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """band, reject_from: the least step that Benjamini-Hochberg rejects; steps grow as p-values fall. Its input is counted
-    by band and step first: 137 x 12,001 rows at most, whatever the table's size."""
-    counts = runs.groupBy("band", "bin").agg(F.count("*").alias("n"), F.min("strict").alias("strict"))
-    up = Window.partitionBy("band").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("n").over(up)).withColumn("m", F.sum("n").over(Window.partitionBy("band")))
-    return ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 1000) <= fdr * F.col("strict") * F.col("rank") / F.col("m")).groupBy("band").agg(F.min("bin").alias("reject_from"))
+    """band, reject_from: the step from which runs are not marked; steps grow as p-values fall. Its input is counted by band
+    and step first: 49 x 12,001 rows at most, whatever the table's size."""
+    counts = runs.groupBy("band", "middle", "bin").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("band").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    above = lambda step: F.pow(1 - F.pow(F.lit(10.0), -step / 1000) / TESTS, F.lit(3.0))  # noqa: E731  the share of uniform runs below a step
+    ranked = counts.withColumn("marked", F.sum("n").over(down)).withColumn("upper", F.coalesce(F.sum(F.when(F.col("bin") < F.col("middle"), F.col("n"))).over(Window.partitionBy("band")), F.lit(0)))
+    random, error = (x / above(F.col("middle")) for x in (F.col("upper"), F.sqrt("upper")))
+    return ranked.where(F.col("marked") - random * above(F.col("bin") + 1) <= F.greatest(fdr * F.col("marked"), error)).groupBy("band").agg((F.max("bin") + 1).alias("reject_from"))
 
 
 def runs_of(text: str) -> F.Column:
@@ -145,29 +158,31 @@ def runs_of(text: str) -> F.Column:
 
 
 def scan(docs: DataFrame, text: str = "text", fdr: float = FDR) -> DataFrame:
-    """The table with `secrets` added: structs (start, kind, end, piece) of all spans, by start, then kind."""
-    body = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    low = F.lower(F.col("_text"))
-    some = F.col("_text").rlike(RUN)
-    limits = thresholds(body.where(some).select(F.explode_outer(runs_of("_text")).alias("r")).select("r.band", "r.bin", "r.strict").where("bin is not null"), fdr).collect()  # 137 rows at most
+    """The table with `secrets` (or the next free name, the last column) added: structs (start, kind, end, piece) of all
+    spans, by start, then kind."""
+    out, own = fresh(docs, "secrets", "_text")
+    body = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    low = F.lower(F.col(own))
+    some = F.col(own).rlike(RUN)
+    limits = thresholds(body.where(some).select(F.explode_outer(runs_of(own)).alias("r")).select("r.band", "r.middle", "r.bin").where("bin is not null"), fdr).collect()  # 49 rows at most
     froms = F.create_map(*[F.lit(x) for r in limits for x in (r.band, r.reject_from)]) if limits else None
-    from_band = lambda band: F.coalesce(F.try_element_at(froms, band), F.lit(1 << 30)) if limits else F.lit(1 << 30)
-    marked = F.transform(F.filter(runs_of("_text"), lambda s: s["bin"] < from_band(s["band"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["piece"].alias("piece")))
+    from_band = lambda band: F.coalesce(F.try_element_at(froms, band), F.lit(0)) if limits else F.lit(0)
+    marked = F.transform(F.filter(runs_of(own), lambda s: s["bin"] < from_band(s["band"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["piece"].alias("piece")))
     none = F.expr(NONE)
     word = F.lit(False)
     for w in WORDS:
         word = word | low.contains(w)
     return body.withColumn(
-        "secrets",
+        out,
         F.array_sort(
             F.concat(
-                F.when(word, spans("_text", ASSIGN, "assign", True)).otherwise(none),
-                F.when(F.col("_text").contains("AKIA"), spans("_text", ACCESS, "access")).otherwise(none),
-                F.when(F.col("_text").rlike("[0-9a-f]{24}"), spans("_text", HEX, "hex")).otherwise(none),
+                F.when(word, spans(own, ASSIGN, "assign", True)).otherwise(none),
+                F.when(F.col(own).contains("AKIA"), spans(own, ACCESS, "access")).otherwise(none),
+                F.when(F.col(own).rlike("[0-9a-f]{24}"), spans(own, HEX, "hex")).otherwise(none),
                 F.when(some, marked).otherwise(none),
             )
         ),
-    ).drop("_text")
+    ).drop(own)
 
 
 def listed(found: F.Column) -> F.Column:
@@ -186,17 +201,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The table with every span of its texts replaced by a mark; overlapping spans become one."""
-    cols = docs.columns
-    df = scan(docs, text)
+    cols, df = docs.columns, scan(docs, text)
+    found = df.columns[-1]
     # spans come by start: a span that begins before the last one's end extends it
     last = lambda a: F.get(a, F.size(a) - 1)
     span = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e")))
     grow = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), span(last(a)["s"], F.greatest(last(a)["e"], x["end"])))
-    merged = F.aggregate("secrets", F.expr("cast(array() as array<struct<s:int,e:int>>)"), lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= last(a)["e"]), grow(a, x)).otherwise(F.concat(a, span(x["start"], x["end"]))))
+    merged = F.aggregate(found, F.expr("cast(array() as array<struct<s:int,e:int>>)"), lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= last(a)["e"]), grow(a, x)).otherwise(F.concat(a, span(x["start"], x["end"]))))
     ended = lambda m, i: F.coalesce(F.get(m, i - 1)["e"], F.lit(0))
     kept = lambda m: F.array_join(F.transform(m, lambda x, i: F.substring(F.col(text), ended(m, i) + 1, x["s"] - ended(m, i))), mark)
     cleaned = staged(merged, lambda m: F.concat(kept(m), F.lit(mark), F.substring(F.col(text), last(m)["e"] + 1, F.lit(2**31 - 1))))
-    return df.withColumn(text, F.when(F.size("secrets") > 0, cleaned).otherwise(F.col(text))).select(*cols)
+    return df.withColumn(text, F.when(F.size(found) > 0, cleaned).otherwise(F.col(text))).select(*cols)
 
 
 def op7_random_secrets(spark, sf_dir: str) -> DataFrame:

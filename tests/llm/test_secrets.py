@@ -62,3 +62,61 @@ def test_named_padded_mixed_and_short_values_are_tested(make_docs):
     assert sum(got[9000 + i].n_random for i in range(60)) == 0
     text = {x.doc_id: x.text for x in s.redact(docs).where("doc_id < 60").collect()}
     assert sum(t == "see sig=[secret] end" for t in text.values()) >= 40
+
+
+def natural(r):
+    """Identifiers and paths with digits, of the lengths that the battery takes."""
+    words = "get user account config service handler request response cache index module version test data model parser builder network buffer stream".split()
+    while True:
+        parts = [r.choice(words) for _ in range(r.randrange(3, 7))]
+        parts.insert(r.randrange(1, len(parts)), str(r.randrange(1, 3000)))
+        x = r.choice(["_".join, "/".join, "-".join, lambda p: "".join(w.capitalize() for w in p)])(parts)
+        if 20 <= len(x) <= 60:
+            return x
+
+
+def test_false_discoveries_are_bounded_and_short_values_found(make_docs):
+    r = random.Random(11)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    kinds = [lambda: natural(r), lambda: say(alnum + "+/", 44), lambda: say(alnum, 32), lambda: say(alnum, 22)]
+    rows = [(1000 * k + i, f"see {make()} end") for k, make in enumerate(kinds) for i in range(300)]
+    got = {g.doc_id: g.n_random for g in s.report(make_docs(rows)).collect()}
+    hits = [sum(got[1000 * k + i] > 0 for i in range(300)) for k in range(4)]
+    assert min(hits[1:]) >= 270 and hits[0] <= 0.07 * sum(hits)
+    # without any random value few of the others are marked
+    got = s.report(make_docs([(i, f"see {natural(r)} end") for i in range(300)])).collect()
+    assert sum(g.n_random > 0 for g in got) <= 15
+
+
+def test_battery_matches_plain_formulas(spark):
+    """Chi-squared (Wilson and Hilferty), runs and serial correlation, written out."""
+    import math
+
+    phi = lambda z: 1 / (1 + math.exp(-max(-300, min(300, 1.5976 * z + 0.07056 * z**3))))
+    r = random.Random(3)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pieces = ["".join(r.choice(alnum) for _ in range(n)) for n in (20, 33, 64, 200)] + ["ab1" * 12, "getUserAccount2Service", "0a1b" * 20, "A" * 30 + "1b", "deadbeef01" * 4]
+    df = spark.createDataFrame([(p,) for p in pieces], "text string")
+    got = {x.r.piece: x.r for x in df.select(F.explode(s.runs_of("text")).alias("r")).collect()}
+    for p in pieces:
+        letters = next(a for _, a, rx in s.ENCODINGS if re.match(rx, p))
+        v, n, a = [letters.index(c) for c in p], len(p), len(letters)
+        chi = max(sum(p.count(c) ** 2 for c in set(p)) * a / n - n, 0)
+        free = a - 1
+        p1 = 1 - phi(((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)))
+        high = [x >= a / 2 for x in v]
+        k, runs = sum(high), 1 + sum(x != y for x, y in zip(high, high[1:]))
+        m = 2 * k * (n - k) / n + 1
+        p2 = 0.0 if m <= 2 else 2 * (1 - phi(abs(runs - m) / math.sqrt((m - 1) * (m - 2) / (n - 1))))
+        c = (a - 1) / 2
+        p3 = 2 * (1 - phi(abs(sum((x - c) * (y - c) for x, y in zip(v, v[1:])) / (n * (a * a - 1) / 12)) * math.sqrt(n)))
+        want = math.floor(-1000 * math.log10(min(1, max(3 * min(p1, p2, p3), 1e-12))))
+        assert abs(got[p].bin - want) <= 1, p
+
+
+def test_clashing_columns_and_long_texts(make_docs):
+    docs = make_docs([(1, "token=abcdefgh " + "x " * 300_000 + "token=ijklmnop"), (2, None)], _text=1, secrets="mine")
+    assert [(r._text, r.secrets) for r in s.redact(docs).collect()] == [(1, "mine")] * 2
+    found = s.scan(docs).where("doc_id = 1").first()
+    assert found.secrets == "mine" and [x.start for x in found._secrets] == [0, 600_015]
