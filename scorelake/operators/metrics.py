@@ -1,21 +1,21 @@
 """Detection-metric aggregations (M01-M09, M13-M17, M20): every function takes trials with y (1 bonafide, 0 spoof) and score,
 and the columns `by` that group them. Higher scores are more bonafide; a trial is accepted from the threshold on.
 
-Curves come from the histogram of distinct scores, so tied scores are one threshold, windows run over distinct scores and
-counts stay integers until the last division. Groups of one class, null scores and NaN yield no row.
+Curves come from the histogram of distinct scores, so tied scores are one threshold, sums run over distinct scores in slices
+and counts stay integers until the last division; products of counts are decimals, which do not overflow. Groups of one class, null scores and NaN yield no row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running_sums
+
 #: Priors and costs of the tandem cost.
 COST = {"p_spoof": 0.05, "p_tar": 0.9405, "p_non": 0.0095, "c_miss": 1.0, "c_fa": 10.0, "c_fa_spoof": 10.0}
-#: Score slices of a wide curve.
-SLICES = 64
 
 
 def histogram(trials: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -25,27 +25,20 @@ def histogram(trials: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by, "score").agg(F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("s"))
 
 
-def error_curve(trials: DataFrame, by: Sequence[str], wide: bool = False) -> DataFrame:
-    """By, score, tp, fp, nb, ns with the trials accepted at each score.
-
-    With wide, groups of very many distinct scores are summed in two levels: slices of the score range, then the scores in
-    each; no task holds a whole group. The slices' totals have SLICES rows a group.
-    """
-    hist = histogram(trials, by)
-    if wide:
-        cuts = hist.agg(F.percentile_approx("score", [i / SLICES for i in range(1, SLICES)], 1000)).first()[0] or []
-        slice_ = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("score"))) if cuts else F.lit(0)
-        hist = hist.withColumn("_slice", slice_)
-        above = Window.partitionBy(*by).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*by)
-        totals = hist.groupBy(*by, "_slice").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
-        totals = totals.select(*by, "_slice", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in "bs"], F.sum("b").over(whole).alias("nb"), F.sum("s").over(whole).alias("ns"))
-        own = Window.partitionBy(*by, "_slice").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        rows = hist.withColumn("b", F.sum("b").over(own)).withColumn("s", F.sum("s").over(own)).join(totals, [*by, "_slice"])
-        return rows.select(*by, "score", (F.col("b") + F.col("_b")).alias("tp"), (F.col("s") + F.col("_s")).alias("fp"), "nb", "ns")
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return hist.select(*by, "score", F.sum("b").over(down).alias("tp"), F.sum("s").over(down).alias("fp"), F.sum("b").over(whole).alias("nb"), F.sum("s").over(whole).alias("ns"))
+def curve_of(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+    """M01 from a histogram (by, score, b, s): by, score, b, s, tp, fp, nb, ns with the trials accepted at each score. Sums run
+    within slices of a group's scores, so no task holds a whole group."""
+    sums = running_sums(hist, by, "score", {"tp": F.col("b"), "fp": F.col("s")}, ascending=False)
+    return sums.select(*by, "score", "b", "s", "tp", "fp", F.col("tp_total").alias("nb"), F.col("fp_total").alias("ns"))
+
+
+def error_curve(trials: DataFrame, by: Sequence[str]) -> DataFrame:
+    return curve_of(histogram(trials, by), by)
+
+
+def exact(c: Column | str) -> Column:
+    """A count whose products do not overflow."""
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
 
 
 def fnr() -> Column:
@@ -69,21 +62,19 @@ def best(curve: DataFrame, by: Sequence[str], cost: Column, values: dict[str, Co
 
 def eer_of(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     """By, threshold, tp, fp, nb, ns, eer: the mean of FNR and FPR where they are closest, compared as integers."""
-    gap = F.abs((F.col("nb") - F.col("tp")) * F.col("ns") - F.col("fp") * F.col("nb"))
+    gap = F.abs(exact(F.col("nb") - F.col("tp")) * exact("ns") - exact("fp") * exact("nb"))
     return best(two_class(curve), by, gap, {"eer": (fnr() + fpr()) / 2})
 
 
-def eer(trials: DataFrame, by: Sequence[str], wide: bool = False) -> DataFrame:
-    return eer_of(error_curve(trials, by, wide), by)
+def eer(trials: DataFrame, by: Sequence[str]) -> DataFrame:
+    return eer_of(error_curve(trials, by), by)
 
 
 def auc_of(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     """By, roc_auc with half credit for ties, from integer sums."""
-    before = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    rows = two_class(curve).withColumn("_b", F.col("tp") - F.coalesce(F.lag("tp").over(before), F.lit(0)))
-    rows = rows.withColumn("_s", F.col("fp") - F.coalesce(F.lag("fp").over(before), F.lit(0)))
-    twice = F.sum(F.col("_b") * (2 * (F.col("ns") - F.col("fp")) + F.col("_s")))
-    return rows.groupBy(*by).agg((twice.cast("double") / (2 * F.first("nb") * F.first("ns")).cast("double")).alias("roc_auc"))
+    twice = F.sum(exact("b") * exact(2 * (F.col("ns") - F.col("fp")) + F.col("s")))
+    pairs = exact(F.first("nb")) * exact(F.first("ns"))
+    return two_class(curve).groupBy(*by).agg((twice.cast("double") / (2 * pairs.cast("double"))).alias("roc_auc"))
 
 
 def at_threshold(points: DataFrame) -> DataFrame:
@@ -139,11 +130,7 @@ def pooled_bonafide_eer(trials: DataFrame, by: Sequence[str], level: str) -> Dat
     bona = trials.where("y = 1").groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.count("*").alias("b"), F.lit(0).cast("long").alias("s"))
     levels = spoof.select(*by, level).distinct()
     hist = bona.join(levels, list(by)).select(*by, level, "score", "b", "s").unionByName(spoof).groupBy(*by, level, "score").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
-    keys = [*by, level]
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    curve = hist.select(*keys, "score", F.sum("b").over(down).alias("tp"), F.sum("s").over(down).alias("fp"), F.sum("b").over(whole).alias("nb"), F.sum("s").over(whole).alias("ns"))
-    return eer_of(curve, keys)
+    return eer_of(curve_of(hist, [*by, level]), [*by, level])
 
 
 def far_at(trials: DataFrame, thresholds: DataFrame, by: Sequence[str], level: str) -> DataFrame:

@@ -197,7 +197,7 @@ QUERIES = {
     "q_system_eer": (lambda s, d: m.at_threshold(m.eer(T(s, d).where("part = 'eval'"), ["system"])).select("system", "n_trials", "eer", "threshold"),
         with_(BASE, EV, curve_sql("ev", "system"), eer_sql("curve", "system")) + " SELECT system, nb + ns AS n_trials, eer, threshold FROM eer"),
     "q_system_table": (q_system_table, with_(BASE, EV, ASV, curve_sql("ev", "system"), eer_sql("curve", "system"), auc_sql("curve", "system"), tdcf_sql("curve", "system")) + f" SELECT system, threshold, eer, {CONFUSION}, roc_auc, min_tdcf, tdcf_threshold FROM eer JOIN auc USING (system) JOIN tdcf USING (system)"),
-    "q_roc_points": (lambda s, d: m.error_curve(T(s, d).where("part = 'eval'"), ["system"], wide=True).select("system", "score", m.fnr().alias("fnr"), m.fpr().alias("fpr")),
+    "q_roc_points": (lambda s, d: m.error_curve(T(s, d).where("part = 'eval'"), ["system"]).select("system", "score", m.fnr().alias("fnr"), m.fpr().alias("fpr")),
         with_(BASE, EV, curve_sql("ev", "system")) + f" SELECT system, score, {FNR} AS fnr, {FPR} AS fpr FROM curve"),
     "q_auc": (lambda s, d: m.auc_of(m.error_curve(T(s, d), ["part", "system"]), ["part", "system"]), with_(BASE, curve_sql("trials", "part, system"), auc_sql("curve", "part, system")) + " SELECT part, system, roc_auc FROM auc"),
     "q_threshold_metrics": (lambda s, d: m.at_threshold(m.eer(T(s, d), ["part", "system"])), with_(BASE, curve_sql("trials", "part, system"), eer_sql("curve", "part, system")) + f" SELECT part, system, threshold, eer, {CONFUSION} FROM eer"),
