@@ -217,7 +217,11 @@ QUERIES = {
     "q_prediction_verdict": (q_prediction_verdict, with_(BASE, EV, curve_sql("ev", "system"), eer_sql("curve", "system"), "pairs AS (SELECT * FROM (VALUES ('P1', 'A', 'B', 'lower'), ('P2', 'C', 'A', 'lower'), ('P3', 'B', 'missing', 'lower')) v(prediction, system, control, claim))") + " SELECT prediction, p.system, control, claim, a.eer AS eer_system, b.eer AS eer_control, 100 * (a.eer - b.eer) AS delta_pp, 100 * (a.eer - b.eer) < 0 AS supported FROM pairs p JOIN eer a ON a.system = p.system JOIN eer b ON b.system = p.control"),
     "q_matched_subset_decomposition": (q_matched_subset_decomposition, with_(BASE, "ss AS (SELECT *, CASE WHEN part = 'eval' AND speaker % 4 = 0 THEN 'eval_d4' WHEN part = 'hidden' AND n_frames >= 50 THEN 'hidden_notrim' WHEN part = 'hidden' THEN 'hidden_trim' END AS subset FROM trials)", "s2 AS (SELECT * FROM ss WHERE subset IS NOT NULL)", curve_sql("s2", "system, subset"), eer_sql("curve", "system, subset")) + " SELECT system, MAX(CASE WHEN subset = 'eval_d4' THEN eer END) AS eval_d4, MAX(CASE WHEN subset = 'hidden_notrim' THEN eer END) AS hidden_notrim, MAX(CASE WHEN subset = 'hidden_trim' THEN eer END) AS hidden_trim FROM eer GROUP BY system"),
 }
-STRATA = "pr AS (SELECT * FROM trials WHERE part = 'progress'), ed AS (SELECT quantile_cont(n_frames, 0.25) AS q1, quantile_cont(n_frames, 0.5) AS q2, quantile_cont(n_frames, 0.75) AS q3 FROM pr), st AS (SELECT pr.*, CASE WHEN n_frames <= q1 THEN 0 WHEN n_frames <= q2 THEN 1 WHEN n_frames <= q3 THEN 2 ELSE 3 END AS stratum FROM pr CROSS JOIN ed)"
+def STRATA_OF(part: str) -> str:
+    """Quarters of n_frames over a partition's trials."""
+    return f"pr AS (SELECT * FROM trials WHERE part = '{part}'), ed AS (SELECT quantile_cont(n_frames, 0.25) AS q1, quantile_cont(n_frames, 0.5) AS q2, quantile_cont(n_frames, 0.75) AS q3 FROM pr), st AS (SELECT pr.*, CASE WHEN n_frames <= q1 THEN 0 WHEN n_frames <= q2 THEN 1 WHEN n_frames <= q3 THEN 2 ELSE 3 END AS stratum FROM pr CROSS JOIN ed)"
+
+STRATA = STRATA_OF("progress")
 QUERIES |= {
     "q_quantile_strata_eer": (q_quantile_strata_eer, with_(BASE, STRATA, curve_sql("st", "stratum, system"), eer_sql("curve", "stratum, system")) + " SELECT stratum, system, eer, median_frames, n_trials, n_bonafide FROM eer JOIN (SELECT stratum, CAST(MEDIAN(n_frames) AS DOUBLE) AS median_frames, COUNT(*) AS n_trials, CAST(SUM(y) AS BIGINT) AS n_bonafide FROM st WHERE system = 'A' GROUP BY 1) USING (stratum)"),
     "q_strata_verdict": (q_strata_verdict, with_(BASE, STRATA, curve_sql("st", "stratum, system"), eer_sql("curve", "stratum, system"), "win AS (SELECT stratum, system AS winner FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY eer, system) AS rk FROM eer) WHERE rk = 1)", "steps AS (SELECT *, winner >= COALESCE(LAG(winner) OVER (ORDER BY stratum), winner) AS rises FROM win)") + " SELECT STRING_AGG(winner, ',' ORDER BY stratum) AS winners, CASE WHEN COUNT(DISTINCT winner) > 1 THEN 'MOVES' ELSE 'FIXED' END AS verdict, BOOL_AND(rises) AS monotone FROM steps"),

@@ -89,26 +89,7 @@ TEXT = {
     "q_random_check": "SELECT doc_id FROM [documents] ORDER BY {{U32:concat({{STR:doc_id}}, ':check')}}, doc_id LIMIT 200",
 }
 
-#: Clustered draws: for each replicate and class, as many speakers as there are, with replacement; a weight is a draw count.
-B = 12
-DRAWS = """reps AS (SELECT n_nationkey AS rep FROM [nation] WHERE n_nationkey < 12),
-spk AS (SELECT y, speaker, ROW_NUMBER() OVER (PARTITION BY y ORDER BY speaker) - 1 AS k, COUNT(*) OVER (PARTITION BY y) AS n FROM (SELECT DISTINCT y, speaker FROM ev) z),
-hits AS (SELECT r.rep, s.y, {{U32:concat({{STR:r.rep}}, ':', {{STR:s.y}}, ':', {{STR:s.k}})}} % s.n AS k FROM reps r CROSS JOIN spk s),
-draws AS (SELECT h.rep, h.y, s.speaker, COUNT(*) AS w FROM hits h JOIN spk s ON s.y = h.y AND s.k = h.k GROUP BY 1, 2, 3)"""
-WCURVE = """wh AS (SELECT system, score, speaker, y, COUNT(*) AS n FROM ev GROUP BY 1, 2, 3, 4),
-wr AS (SELECT d.rep, wh.system, wh.score, SUM(CASE WHEN wh.y = 1 THEN n * w ELSE 0 END) AS b, SUM(CASE WHEN wh.y = 0 THEN n * w ELSE 0 END) AS s FROM wh JOIN draws d ON d.y = wh.y AND d.speaker = wh.speaker GROUP BY 1, 2, 3),
-wc AS (SELECT rep, system, score, CAST(SUM(b) OVER (PARTITION BY rep, system ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, CAST(SUM(s) OVER (PARTITION BY rep, system ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp,
-  CAST(SUM(b) OVER (PARTITION BY rep, system) AS BIGINT) AS nb, CAST(SUM(s) OVER (PARTITION BY rep, system) AS BIGINT) AS ns FROM wr)"""
-BOOT = (BASE, EV, DRAWS, WCURVE, eer_sql("wc", "rep, system", "we"))
-CI = "ci AS (SELECT system, ROUND({{PCT:eer|0.025}}, 9) AS eer_lo, ROUND({{PCT:eer|0.975}}, 9) AS eer_hi, ROUND({{PCT:eer|0.975}} - {{PCT:eer|0.025}}, 9) AS eer_ci_width FROM we GROUP BY system)"
 TEXT |= {
-    "q_bootstrap_weights": with_(BASE, EV, DRAWS) + " SELECT rep, y, speaker, w FROM draws",
-    "q_bootstrap_ci_clustered": with_(*BOOT, *EER, CI) + " SELECT ci.system, ROUND(eer.eer, 9) AS eer, eer_lo, eer_hi, eer_ci_width FROM ci JOIN eer ON eer.system = ci.system",
-    "q_paired_diff": with_(*BOOT, "d AS (SELECT a.rep, a.eer - b.eer AS diff, a.eer AS ea, b.eer AS eb FROM we a JOIN we b ON a.rep = b.rep WHERE a.system = 'A' AND b.system = 'C')") + " SELECT ROUND(AVG(diff), 9) AS eer_diff, ROUND({{PCT:diff|0.025}}, 9) AS lo, ROUND({{PCT:diff|0.975}}, 9) AS hi, {{PCT:diff|0.025}} > 0 OR {{PCT:diff|0.975}} < 0 AS excludes_zero, ROUND(CORR(ea, eb), 6) AS corr_eer, ROUND(GREATEST(AVG(CASE WHEN diff < 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), AVG(CASE WHEN diff > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)), 9) AS sign_consistency FROM d",
-    "q_bootstrap_naive_check": with_(*BOOT, "nr AS (SELECT d.rep, ev.system, ev.score, ev.y FROM ev JOIN draws d ON d.y = ev.y AND d.speaker = ev.speaker CROSS JOIN (SELECT r_regionkey + 1 AS i FROM [region] UNION ALL SELECT r_regionkey + 6 AS i FROM [region]) x WHERE x.i <= d.w)", curve_sql("nr", "rep, system", "nc"), eer_sql("nc", "rep, system", "ne")) + " SELECT MAX(ABS(we.eer - ne.eer)) < 1e-12 AS same, COUNT(*) AS n FROM we JOIN ne ON we.rep = ne.rep AND we.system = ne.system",
-    "q_ci_overlap": with_(*BOOT, CI) + " SELECT a.system AS s1, b.system AS s2, ROUND(LEAST(a.eer_hi, b.eer_hi) - GREATEST(a.eer_lo, b.eer_lo), 8) AS overlap FROM ci a JOIN ci b ON a.system < b.system",
-    "q_stratum_paired_ci": with_(BASE, "ev AS (SELECT * FROM trials WHERE part = 'progress' AND n_frames <= 50)", DRAWS.replace("PARTITION BY y ORDER BY speaker", "ORDER BY speaker, y").replace("OVER (PARTITION BY y)", "OVER ()").replace("ON s.y = h.y AND s.k", "ON s.k"), WCURVE.replace("d.y = wh.y AND d.speaker", "d.speaker"), eer_sql("wc", "rep, system", "we"), "d AS (SELECT a.rep, a.eer - b.eer AS diff FROM we a JOIN we b ON a.rep = b.rep WHERE a.system = 'A' AND b.system = 'B')") + " SELECT ROUND(AVG(diff), 9) AS diff, ROUND({{PCT:diff|0.025}}, 9) AS lo, ROUND({{PCT:diff|0.975}}, 9) AS hi, COUNT(*) AS n FROM d",
-    "q_bootstrap_ci_trial": with_(BASE, "ev AS (SELECT * FROM trials WHERE part = 'progress' AND system = 'B')", "reps AS (SELECT n_nationkey AS rep FROM [nation] WHERE n_nationkey < 6)", "ord AS (SELECT filename, y, score, ROW_NUMBER() OVER (PARTITION BY y ORDER BY filename) - 1 AS k, COUNT(*) OVER (PARTITION BY y) AS n FROM ev)", "hits AS (SELECT r.rep, o.y, {{U32:concat({{STR:r.rep}}, ':t:', {{STR:o.y}}, ':', {{STR:o.k}})}} % o.n AS k FROM reps r CROSS JOIN ord o)", "drawn AS (SELECT h.rep, o.y, o.score FROM hits h JOIN ord o ON o.y = h.y AND o.k = h.k)", curve_sql("drawn", "rep"), eer_sql("curve", "rep")) + " SELECT ROUND(AVG(eer), 9) AS mean, ROUND({{PCT:eer|0.025}}, 9) AS lo, ROUND({{PCT:eer|0.975}}, 9) AS hi, COUNT(*) AS n FROM eer",
     # L: fusion
     "q_znorm": with_(BASE, "st AS (SELECT system, AVG(score) AS mu, CASE WHEN STDDEV_POP(score) = 0 THEN CAST(1 AS DOUBLE) ELSE STDDEV_POP(score) END AS sd FROM trials WHERE part = 'progress' GROUP BY system)") + " SELECT filename, t.system, ROUND((score - mu) / sd, 6) AS z FROM trials t JOIN st ON st.system = t.system WHERE part = 'eval'",
     "q_equal_fusion": with_(BASE, "st AS (SELECT system, AVG(score) AS mu, STDDEV_POP(score) AS sd FROM trials WHERE part = 'progress' GROUP BY system)", "fz AS (SELECT filename, y, 1 AS g, ROUND(AVG((score - mu) / sd), 6) AS score FROM trials t JOIN st ON st.system = t.system WHERE part = 'eval' AND t.system <> 'C' GROUP BY filename, y)", curve_sql("fz", "g"), eer_sql("curve", "g")) + " SELECT eer, threshold, nb + ns AS n FROM eer",
