@@ -159,11 +159,6 @@ def q_strata_verdict(s, d):
     return steps.agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("stratum", "winner"))), lambda x: x["winner"])).alias("winners"), F.when(F.countDistinct("winner") > 1, "MOVES").otherwise("FIXED").alias("verdict"), F.bool_and("rises").alias("monotone"))
 
 
-def q_det_points(s, d):
-    c = m.two_class(m.error_curve(T(s, d).where("part = 'eval' and system = 'B'"), ["system"])).where("nb > tp and fp > 0")
-    return c.select("system", "score", F.round(m.probit(m.fpr()), 9).alias("x"), F.round(m.probit(m.fnr()), 9).alias("y"))
-
-
 def poly_sql(xs, x):
     out = f"CAST({xs[0]!r} AS DOUBLE)"
     for k in xs[1:]:
@@ -225,7 +220,6 @@ STRATA = STRATA_OF("progress")
 QUERIES |= {
     "q_quantile_strata_eer": (q_quantile_strata_eer, with_(BASE, STRATA, curve_sql("st", "stratum, system"), eer_sql("curve", "stratum, system")) + " SELECT stratum, system, eer, median_frames, n_trials, n_bonafide FROM eer JOIN (SELECT stratum, CAST(MEDIAN(n_frames) AS DOUBLE) AS median_frames, COUNT(*) AS n_trials, CAST(SUM(y) AS BIGINT) AS n_bonafide FROM st WHERE system = 'A' GROUP BY 1) USING (stratum)"),
     "q_strata_verdict": (q_strata_verdict, with_(BASE, STRATA, curve_sql("st", "stratum, system"), eer_sql("curve", "stratum, system"), "win AS (SELECT stratum, system AS winner FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY eer, system) AS rk FROM eer) WHERE rk = 1)", "steps AS (SELECT *, winner >= COALESCE(LAG(winner) OVER (ORDER BY stratum), winner) AS rises FROM win)") + " SELECT STRING_AGG(winner, ',' ORDER BY stratum) AS winners, CASE WHEN COUNT(DISTINCT winner) > 1 THEN 'MOVES' ELSE 'FIXED' END AS verdict, BOOL_AND(rises) AS monotone FROM steps"),
-    "q_det_points": (q_det_points, with_(BASE, "ev AS (SELECT * FROM trials WHERE part = 'eval' AND system = 'B')", curve_sql("ev", "system")) + f" SELECT system, score, ROUND({probit_sql(FPR)}, 9) AS x, ROUND({probit_sql(FNR)}, 9) AS y FROM curve WHERE nb > tp AND fp > 0"),
 }
 ORACLE_SQL = {k: duckdb(v[1]) for k, v in QUERIES.items()}
 QUERIES = {k: v[0] for k, v in QUERIES.items()}

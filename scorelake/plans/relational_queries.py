@@ -30,7 +30,6 @@ TEXT = {
     "q_melt_counts": with_(BASE, "c AS (SELECT part, COUNT(CASE WHEN y = 1 THEN 1 END) AS bonafide, COUNT(CASE WHEN y = 0 THEN 1 END) AS spoof FROM base GROUP BY part)") + " SELECT part, 'bonafide' AS label, bonafide AS n FROM c UNION ALL SELECT part, 'spoof' AS label, spoof AS n FROM c",
     "q_describe_duration": with_(BASE) + " SELECT y, COUNT(*) AS n, ROUND(AVG(n_frames), 9) AS mean, CAST({{PCT:n_frames|0.5}} AS DOUBLE) AS p50, MIN(n_frames) AS lo, MAX(n_frames) AS hi FROM base GROUP BY y",
     "q_class_ratio": with_(BASE) + " SELECT part, ROUND(CAST(SUM(1 - y) AS DOUBLE) / SUM(y), 9) AS spoof_per_bonafide FROM base GROUP BY part",
-    "q_quantiles": with_(BASE, EV) + " SELECT system, {{PCT:score|0.025}} AS lo, {{PCT:score|0.5}} AS mid, {{PCT:score|0.975}} AS hi FROM ev GROUP BY system",
     "q_fold_se": with_(BASE, "f AS (SELECT system, speaker % 5 AS fold, AVG(score) AS v FROM trials GROUP BY 1, 2)") + " SELECT system, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_SAMP(v) / SQRT(COUNT(v)), 6) AS se, ROUND(STDDEV_POP(v), 6) AS sd_pop FROM f GROUP BY system",
     "q_best_per_size": with_(SWEEP) + " SELECT n_train, c, gamma, eer FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_train ORDER BY eer, c, gamma) AS r FROM sweep) x WHERE r = 1",
     "q_sweep_pivot": with_(SWEEP) + " SELECT c, " + ", ".join(f"ROUND(AVG(CASE WHEN gamma = '{g}' THEN eer END), 9) AS g_{n}" for g, n in (("scale", "scale"), ("0.01", "001"), ("0.1", "01"), ("1", "1"))) + " FROM sweep GROUP BY c",
@@ -39,7 +38,6 @@ TEXT = {
     "q_work_order": with_(SWEEP) + " SELECT n_train, c, gamma, CAST(ROW_NUMBER() OVER (ORDER BY n_train, CASE WHEN gamma IN ('0.1', '1') THEN 1 ELSE 0 END, gamma, c) AS BIGINT) AS position FROM sweep",
     "q_generalisation_gap": with_(LOG) + " SELECT epoch, ROUND(train_eer - dev_eer, 9) AS gap, dev_eer = MIN(dev_eer) OVER () AS is_best FROM log",
     "q_early_stop": with_(LOG, "b AS (SELECT epoch, dev_eer, MIN(dev_eer) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best FROM log)", "m AS (SELECT *, MAX(CASE WHEN dev_eer = best THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_epoch FROM b)") + " SELECT epoch, ROUND(best, 9) AS best, epoch - best_epoch AS since_best, epoch - best_epoch >= 8 AS stop FROM m",
-    "q_spearman_matrix": with_(BASE, EV, "r AS (SELECT filename, system, RANK() OVER (PARTITION BY system ORDER BY score) + (COUNT(*) OVER (PARTITION BY system, score) - 1) / CAST(2 AS DOUBLE) AS rk FROM ev)") + " SELECT a.system AS s1, b.system AS s2, ROUND(CORR(a.rk, b.rk), 8) AS rho FROM r a JOIN r b ON a.filename = b.filename WHERE a.system < b.system GROUP BY 1, 2",
     "q_rank_agreement": with_(BASE, curve_sql("trials", "part, system"), eer_sql("curve", "part, system"), "x AS (SELECT d.system, d.eer AS dev, t.eer AS tgt FROM eer d JOIN eer t ON d.system = t.system WHERE d.part = 'progress' AND t.part = 'eval')", "rk AS (SELECT system, CAST(RANK() OVER (ORDER BY dev) AS DOUBLE) AS rd, CAST(RANK() OVER (ORDER BY tgt) AS DOUBLE) AS rt FROM x)") + " SELECT ROUND(CORR(rd, rt), 8) AS rho, COUNT(*) AS n FROM rk",
     "q_loglinear_trend": with_(BASE) + " SELECT part, ROUND(REGR_SLOPE(value, LOG10(n_frames + 1)), 6) AS slope, ROUND(REGR_INTERCEPT(value, LOG10(n_frames + 1)), 6) AS intercept FROM base GROUP BY part",
     "q_weight_share": with_(BASE, "c AS (SELECT speaker % 5 AS fold, system, AVG(CASE WHEN y = 1 THEN score END) - AVG(CASE WHEN y = 0 THEN score END) AS coef FROM trials GROUP BY 1, 2)") + " SELECT fold, system, ROUND(coef / SUM(ABS(coef)) OVER (PARTITION BY fold), 6) AS share FROM c",
@@ -47,8 +45,8 @@ TEXT = {
     # joins
     "q_score_assembly_left": with_("a AS (SELECT doc_id, n_chars FROM [documents])", "b AS (SELECT doc_id, quality, toxic FROM [labels])") + " SELECT a.doc_id, n_chars, quality, toxic FROM a LEFT JOIN b ON a.doc_id = b.doc_id",
     "q_inner_equi": "SELECT d.doc_id, d.lang, l.quality FROM [documents] d JOIN [labels] l ON d.doc_id = l.doc_id",
-    "q_outer_merge": with_("a AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS s1 FROM [documents] WHERE doc_id % 3 <> 0)", "b AS (SELECT doc_id, CAST(quality AS DOUBLE) AS s2 FROM [labels])") + " SELECT COALESCE(a.doc_id, b.doc_id) AS doc_id, s1, s2 FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id",
-    "q_dictionary_lookup": "SELECT e.event_id, COALESCE(c.c_mktsegment, 'unknown') AS segment FROM [events] e LEFT JOIN (SELECT * FROM [customer] WHERE c_custkey % 2 = 0) c ON e.user_id = c.c_custkey",
+    "q_outer_merge": with_("a AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS s1 FROM [documents])", "b AS (SELECT doc_id, CAST(quality AS DOUBLE) AS s2 FROM [labels])") + " SELECT COALESCE(a.doc_id, b.doc_id) AS doc_id, s1, s2 FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id",
+    "q_dictionary_lookup": "SELECT e.event_id, COALESCE(c.c_mktsegment, 'unknown') AS segment FROM [events] e LEFT JOIN [customer] c ON e.user_id = c.c_custkey",
     "q_reindex_align": "SELECT o.vec_id, l.toxic FROM [embeddings] o LEFT JOIN [labels] l ON o.vec_id = l.doc_id",
     "q_semi": "SELECT doc_id, source FROM [documents] d WHERE EXISTS (SELECT 1 FROM [labels] l WHERE l.doc_id = d.doc_id AND l.toxic = 1)",
     "q_anti_missing": "SELECT doc_id FROM [documents] d WHERE NOT EXISTS (SELECT 1 FROM [labels] l WHERE l.doc_id = d.doc_id)",
@@ -68,21 +66,11 @@ TEXT = {
     "q_distinct_splits": with_(BASE) + " SELECT DISTINCT part, y FROM base",
     "q_first_seen_codes": with_("f AS (SELECT event_type, MIN(event_id) AS pos FROM [events] GROUP BY event_type)") + " SELECT event_type, CAST(ROW_NUMBER() OVER (ORDER BY pos) - 1 AS BIGINT) AS code FROM f",
     # Windows and sorts
-    "q_running_offset": "SELECT doc_id, n_chars, CAST(SUM(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS BIGINT) AS offset_ FROM [documents]",
-    "q_avg_rank": with_(BASE, EV) + " SELECT filename, system, RANK() OVER (PARTITION BY system ORDER BY score) + (COUNT(*) OVER (PARTITION BY system, score) - 1) / CAST(2 AS DOUBLE) AS avg_rank FROM ev WHERE system = 'B'",
-    "q_rank_inversions": with_("r AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY n_chars, doc_id) AS ra, ROW_NUMBER() OVER (ORDER BY length(text) + doc_id % 2, doc_id) AS rb FROM [documents])") + " SELECT COUNT(CASE WHEN ra <> rb THEN 1 END) AS moved, CAST(MAX(ABS(ra - rb)) AS BIGINT) AS farthest FROM r",
-    "q_tie_ends": with_(BASE, EV) + " SELECT system, score, COUNT(*) AS ties, CAST(SUM(COUNT(*)) OVER (PARTITION BY system ORDER BY score DESC) AS BIGINT) AS last_position FROM ev WHERE system = 'B' GROUP BY system, score",
     "q_group_mean": "SELECT source, ROUND(AVG(n_chars), 9) AS mean_chars, COUNT(*) AS n FROM [documents] GROUP BY source",
-    "q_resume_point": with_("o AS (SELECT doc_id, CAST(SUM(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS BIGINT) AS off FROM [documents])") + " SELECT MAX(doc_id) AS resume_at FROM o WHERE off <= 100000",
     "q_adjacent_change": with_("w AS (SELECT CAST(day(ts) AS INT) AS d, COUNT(*) AS n FROM [events] GROUP BY 1)") + " SELECT d, n, n >= COALESCE(LAG(n) OVER (ORDER BY d), n) AS rises FROM w",
-    "q_chunk_ids": "SELECT event_id, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY event_id) - 1) / CAST(4000 AS DOUBLE)) AS BIGINT) AS chunk FROM [events]",
     "q_topk": "SELECT o_orderkey, o_totalprice FROM [orders] ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "q_one_se_select": with_(BASE, "f AS (SELECT system, speaker % 5 AS fold, AVG(score) AS v FROM trials GROUP BY 1, 2)", "cv AS (SELECT system, CASE system WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 1 END AS n_systems, AVG(v) AS cv_eer, STDDEV_SAMP(v) / SQRT(COUNT(v)) AS se FROM f GROUP BY system)", "b AS (SELECT cv_eer + se AS lim FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY cv_eer, system) AS r FROM cv) x WHERE r = 1)", "c AS (SELECT cv.*, ROW_NUMBER() OVER (ORDER BY n_systems, cv_eer) AS r FROM cv CROSS JOIN b WHERE cv_eer <= lim)") + " SELECT system, n_systems, ROUND(cv_eer, 6) AS cv_eer FROM c WHERE r = 1",
     # R: sampling, resampling
-    "q_group_split": with_("g AS (SELECT DISTINCT user_id FROM [events])", "r AS (SELECT user_id, ROW_NUMBER() OVER (ORDER BY {{U32:concat({{STR:user_id}}, ':42')}}, user_id) AS r, COUNT(*) OVER () AS n FROM g)") + " SELECT e.event_id, CASE WHEN r.r <= FLOOR(0.75 * r.n) THEN 'train' ELSE 'dev' END AS split FROM [events] e JOIN r ON e.user_id = r.user_id",
-    "q_stratified_subsample": with_(BASE, "r AS (SELECT filename, y, ROW_NUMBER() OVER (PARTITION BY y ORDER BY {{U32:concat({{STR:filename}}, ':s2000')}}, filename) AS r, COUNT(*) OVER (PARTITION BY y) AS ny, COUNT(*) OVER () AS n FROM base)") + " SELECT filename, y FROM r WHERE r <= ROUND(2000 * CAST(ny AS DOUBLE) / n)",
-    "q_label_sample": with_(BASE, "r AS (SELECT filename, y, ROW_NUMBER() OVER (PARTITION BY y ORDER BY {{U32:concat({{STR:filename}}, ':lab')}}, filename) AS r FROM base)") + " SELECT filename, y FROM r WHERE r <= 150",
-    "q_speaker_folds": with_("g AS (SELECT DISTINCT user_id FROM [events])") + " SELECT user_id, CAST(NTILE(5) OVER (ORDER BY {{U32:concat({{STR:user_id}}, ':fold')}}, user_id) AS INT) AS fold FROM g",
     "q_frame_quota": with_("t AS (SELECT l_orderkey, l_linenumber, l_partkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {{U32:concat({{STR:l_orderkey}}, ':', {{STR:l_linenumber}}, ':', {{STR:l_partkey}})}}, l_linenumber, l_partkey, l_suppkey) AS r FROM [lineitem])") + " SELECT l_orderkey, COUNT(*) AS kept, CAST(SUM(l_linenumber) AS BIGINT) AS lines FROM t WHERE r <= 4 GROUP BY l_orderkey",
     "q_quota_realised": with_("t AS (SELECT l_orderkey, CAST(LEAST(COUNT(*), 4) AS BIGINT) AS kept FROM [lineitem] GROUP BY 1)") + " SELECT ROUND(CAST(SUM(kept) AS DOUBLE) / (COUNT(*) * 4), 9) AS realised FROM t",
     "q_dose_sample": "SELECT doc_id, CASE WHEN " + unit("concat({{STR:doc_id}}, ':dose')") + " < 0.4 THEN 'clean' ELSE concat('aug', {{STR:CAST(FLOOR(3 * " + unit("concat({{STR:doc_id}}, ':copy')") + ") AS INT) + 1}}) END AS copy_ FROM [documents]",
