@@ -94,10 +94,7 @@ TEXT |= {
     "q_parabola_vertex": with_(SWEEP, "m AS (SELECT c, AVG(eer) AS e FROM sweep GROUP BY c)", "p AS (SELECT CAST(c AS DOUBLE) AS x2, e AS y2, LAG(CAST(c AS DOUBLE)) OVER (ORDER BY c) AS x1, LAG(e) OVER (ORDER BY c) AS y1, LEAD(CAST(c AS DOUBLE)) OVER (ORDER BY c) AS x3, LEAD(e) OVER (ORDER BY c) AS y3 FROM m)") + " SELECT ROUND(x2 - 0.5 * ((x2 - x1) * (x2 - x1) * (y2 - y3) - (x2 - x3) * (x2 - x3) * (y2 - y1)) / NULLIF((x2 - x1) * (y2 - y3) - (x2 - x3) * (y2 - y1), 0), 4) AS vertex FROM p WHERE x1 IS NOT NULL AND x3 IS NOT NULL",
     "q_axis_sweep": with_(BASE, "ax AS (SELECT 20 * (r_regionkey + 1) AS t FROM [region])", "sw AS (SELECT t, system, y, score FROM trials JOIN ax ON n_frames <= t WHERE part = 'eval' AND system <> 'B')", curve_sql("sw", "t, system"), eer_sql("curve", "t, system")) + " SELECT t, system, eer, nb + ns AS n FROM eer",
     # S, K, F, G: parsing, writing, completeness
-    "q_protocol_parse": with_("l AS (SELECT trim(concat_ws(' ', c_mktsegment, c_name, {{STR:c_nationkey}})) AS line FROM [customer])") + " SELECT {{AT:split(line, ' ')|0}} AS speaker_id, {{AT:split(line, ' ')|1}} AS filename, CAST({{AT:split(line, ' ')|2}} AS INT) AS env_id FROM l",
-    "q_enrollment_explode": with_("l AS (SELECT c_nationkey, concat('SPK_', {{STR:c_nationkey}}, '_ENV ', {{JOINED:c_name|c_custkey}}) AS line FROM [customer] GROUP BY c_nationkey)", "p AS (SELECT {{AT:split(line, ' ')|0}} AS head, {{AT:split(line, ' ')|1}} AS files FROM l)") + " SELECT regexp_replace(head, '_[^_]*$', '') AS speaker_id, {{EXPL:split(files, ',')}} AS filename FROM p",
     "q_path_lookup": with_("f AS (SELECT page_id, url, {{AT:split(url, '/')|3}} AS lang FROM [pages])") + " SELECT page_id, lang, regexp_replace(url, '^.*/', '') AS stem FROM f",
-    "q_score_txt_roundtrip": with_(BASE, "t AS (SELECT concat({{STR:filename}}, ' ', {{FIX6:value}}, '  ') AS line FROM base)") + " SELECT {{AT:split(trim(line), ' ')|0}} AS filename, CAST({{AT:split(trim(line), ' ')|1}} AS DOUBLE) AS score FROM t",
     "q_zero_padded": "SELECT c_custkey, {{PAD:c_custkey}} AS code FROM [customer]",
     "q_failure_split": with_("e AS (SELECT event_id, CASE WHEN value > 200 THEN 'too large' WHEN value < 0.5 THEN 'too small' END AS error FROM [events])") + " SELECT error IS NULL AS ok, COALESCE(error, '-') AS reason, COUNT(*) AS n FROM e GROUP BY 1, 2",
     "q_completeness": with_("c AS (SELECT CAST(FLOOR(event_id / CAST(4000 AS DOUBLE)) AS BIGINT) AS chunk, COUNT(*) AS n FROM [events] GROUP BY 1)", "t AS (SELECT COUNT(*) AS total FROM [events])") + " SELECT chunk, n, n = LEAST(4000, total - 4000 * chunk) AS complete FROM c CROSS JOIN t",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,11 +49,18 @@ def with_paths(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """n (from 0), and the line: files by name, splits by their start; a row a split is counted and broadcast."""
+    rows = spark.read.text(path).select(F.col("value").alias(name), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    splits = rows.groupBy("_f", "_s").agg(F.min("_i").alias("_lo"), F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(F.broadcast(splits), ["_f", "_s"]).select((F.col("_b") + F.col("_i") - F.col("_lo")).alias("n"), name)
+
+
 def zipped(spark: SparkSession, left: str, right: str) -> DataFrame:
     """Two row-aligned text files as (n, left, right), joined on line numbers; unequal lengths raise."""
-    number = lambda p: spark.sparkContext.textFile(p).zipWithIndex().map(lambda x: (x[1], x[0]))  # noqa: E731  text has no key of its own
-    a, b = (spark.createDataFrame(number(p), f"n long, {c} string") for p, c in ((left, "left"), (right, "right")))
-    out = a.join(b, "n", "full")
+    out = numbered_lines(spark, left, "left").join(numbered_lines(spark, right, "right"), "n", "full")
     if out.where("left is null or right is null").limit(1).count():
         raise ValueError("the files have different numbers of lines")
     return out

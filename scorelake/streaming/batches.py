@@ -29,12 +29,13 @@ def run_available(spark: SparkSession, source: str, schema, score: Callable[[Dat
         rows = score(batch).persist()
         try:
             total, failed = rows.agg(F.count("*"), F.count("error")).first()
+            came = batch.count()
+            if came != total:  # nothing is written of such a batch
+                raise Incomplete(f"batch {n} has {came} rows, {total} came out")
             if failed > max(5, max_failure_rate * total) and not accept_failures:
                 raise TooManyFailures(f"{failed} of {total} rows failed in batch {n}")
             rows.where("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/scored/batch={n}")
             rows.where("error is not null").write.mode("overwrite").parquet(f"{out}/failed/batch={n}")
-            if batch.count() != total:
-                raise Incomplete(f"batch {n} has {batch.count()} rows, {total} came out")
             done[0] += total - failed
         finally:
             rows.unpersist()
