@@ -80,11 +80,6 @@ def q_system_table(s, d):
     return m.system_table(T(s, d).where("part = 'eval'"), ["system"], coefficients(s, d))
 
 
-def q_posthoc_whitelist(s, d):
-    allowed = s.createDataFrame([("A", "progress"), ("A", "hidden"), ("B", "progress"), ("C", "hidden")], "system string, part string")
-    return m.system_table(T(s, d).join(F.broadcast(allowed), ["system", "part"], "left_semi"), ["system", "part"])
-
-
 def q_within_group_eer(s, d):
     t = T(s, d).where("part = 'eval'").withColumn("hour_block", (F.col("h") / 6).cast("int").cast("string")).withColumn("user_class", F.expr("case when y = 1 then nullif(cast(speaker % 5 as string), '0') else cast(speaker % 5 as string) end"))
     long = t.unpivot(["system", "y", "score"], ["hour_block", "user_class"], "factor", "level").where("level is not null")
@@ -176,17 +171,6 @@ def probit_sql(p: str) -> str:
     return f"CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 0.97575 THEN -({tail(f'sqrt(-2 * ln(1 - {p}))')}) ELSE ({poly_sql(a, r)}) * ({p} - 0.5) / (({poly_sql(b, r)}) * ({r}) + 1) END"
 
 
-PUBLISHED = (("A", 0.9), ("B", 0.99), ("C", 1.0))
-
-
-def q_tdcf_validation(s, d):
-    want = s.createDataFrame(list(PUBLISHED), "system string, published double")
-    t = T(s, d).where("part = 'eval'")
-    got = m.min_tdcf_of(m.error_curve(t, ["system"]), ["system"], coefficients(s, d))
-    rows = want.join(got, "system").withColumn("diff", F.abs(F.col("min_tdcf") - F.col("published")))
-    return rows.agg(F.max("diff").alias("max_abs_diff"), F.bool_and(F.col("diff") < 2e-4).alias("all_ok"), F.count("*").alias("n"))
-
-
 EV = "ev AS (SELECT * FROM trials WHERE part = 'eval')"
 QUERIES = {
     "q_system_eer": (lambda s, d: m.at_threshold(m.eer(T(s, d).where("part = 'eval'"), ["system"])).select("system", "n_trials", "eer", "threshold"),
@@ -200,8 +184,6 @@ QUERIES = {
     "q_tdcf_coefficients": (lambda s, d: coefficients(s, d).select("c0", "c1", "c2"), with_(BASE, ASV) + " SELECT c0, c1, c2 FROM coef"),
     "q_asv_floor": (lambda s, d: coefficients(s, d).select("asv_floor"), with_(BASE, ASV) + " SELECT asv_floor FROM coef"),
     "q_min_tdcf": (lambda s, d: m.min_tdcf_of(m.error_curve(T(s, d), ["part", "system"]), ["part", "system"], coefficients(s, d)), with_(BASE, ASV, curve_sql("trials", "part, system"), tdcf_sql("curve", "part, system")) + " SELECT * FROM tdcf"),
-    "q_tdcf_validation": (q_tdcf_validation, with_(BASE, EV, ASV, curve_sql("ev", "system"), tdcf_sql("curve", "system"), "pub AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({b} AS DOUBLE))" for a, b in PUBLISHED) + ") v(system, published))") + " SELECT MAX(ABS(min_tdcf - published)) AS max_abs_diff, BOOL_AND(ABS(min_tdcf - published) < 2e-4) AS all_ok, COUNT(*) AS n FROM tdcf JOIN pub USING (system)"),
-    "q_posthoc_whitelist": (q_posthoc_whitelist, with_(BASE, "ok AS (SELECT * FROM trials WHERE (system, part) IN (('A', 'progress'), ('A', 'hidden'), ('B', 'progress'), ('C', 'hidden')))", curve_sql("ok", "system, part"), eer_sql("curve", "system, part"), auc_sql("curve", "system, part")) + f" SELECT system, part, threshold, eer, {CONFUSION}, roc_auc FROM eer JOIN auc USING (system, part)"),
     "q_other_partitions": (lambda s, d: m.at_threshold(m.eer(T(s, d).where("part <> 'eval'"), ["part", "system"])).select("part", "system", "eer", F.col("n_trials").alias("n")),
         with_(BASE, "o AS (SELECT * FROM trials WHERE part <> 'eval')", curve_sql("o", "part, system"), eer_sql("curve", "part, system")) + " SELECT part, system, eer, nb + ns AS n FROM eer"),
     "q_within_group_eer": (q_within_group_eer, with_(BASE, "f AS (SELECT system, y, score, 'hour_block' AS factor, CAST(CAST(FLOOR(h / 6) AS INT) AS VARCHAR) AS level FROM trials WHERE part = 'eval' UNION ALL SELECT system, y, score, 'user_class', CASE WHEN y = 1 THEN NULLIF(CAST(speaker % 5 AS VARCHAR), '0') ELSE CAST(speaker % 5 AS VARCHAR) END FROM trials WHERE part = 'eval')", "g AS (SELECT * FROM f WHERE level IS NOT NULL)", curve_sql("g", "system, factor, level"), eer_sql("curve", "system, factor, level")) + " SELECT system, factor, level, eer, threshold, nb AS n_bonafide, ns AS n_spoof FROM eer"),

@@ -34,7 +34,6 @@ TEXT = {
     "q_best_per_size": with_(SWEEP) + " SELECT n_train, c, gamma, eer FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_train ORDER BY eer, c, gamma) AS r FROM sweep) x WHERE r = 1",
     "q_sweep_pivot": with_(SWEEP) + " SELECT c, " + ", ".join(f"ROUND(AVG(CASE WHEN gamma = '{g}' THEN eer END), 9) AS g_{n}" for g, n in (("scale", "scale"), ("0.01", "001"), ("0.1", "01"), ("1", "1"))) + " FROM sweep GROUP BY c",
     "q_edge_warnings": with_(SWEEP, "w AS (SELECT *, ROW_NUMBER() OVER (ORDER BY eer, n_train, c, gamma) AS r FROM sweep)", "g AS (SELECT MIN(c) AS lo, MAX(c) AS hi FROM sweep)") + " SELECT n_train, c, gamma, c = lo AS at_low_edge, c = hi AS at_high_edge FROM w CROSS JOIN g WHERE r = 1",
-    "q_learning_curve": with_(SWEEP) + " SELECT n_train, ROUND(MIN(eer), 9) AS best, ROUND(AVG(eer), 9) AS mean, ROUND(MAX(eer), 9) AS worst, COUNT(*) AS n FROM sweep GROUP BY n_train",
     "q_work_order": with_(SWEEP) + " SELECT n_train, c, gamma, CAST(ROW_NUMBER() OVER (ORDER BY n_train, CASE WHEN gamma IN ('0.1', '1') THEN 1 ELSE 0 END, gamma, c) AS BIGINT) AS position FROM sweep",
     "q_generalisation_gap": with_(LOG) + " SELECT epoch, ROUND(train_eer - dev_eer, 9) AS gap, dev_eer = MIN(dev_eer) OVER () AS is_best FROM log",
     "q_early_stop": with_(LOG, "b AS (SELECT epoch, dev_eer, MIN(dev_eer) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best FROM log)", "m AS (SELECT *, MAX(CASE WHEN dev_eer = best THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_epoch FROM b)") + " SELECT epoch, ROUND(best, 9) AS best, epoch - best_epoch AS since_best, epoch - best_epoch >= 8 AS stop FROM m",
@@ -85,14 +84,12 @@ TEXT |= {
     "q_topk_mean_fusion": with_(BASE, EV, *EER, "top AS (SELECT system FROM (SELECT system, ROW_NUMBER() OVER (ORDER BY eer, system) AS r FROM eer) x WHERE r <= 2)", "st AS (SELECT system, AVG(score) AS mu, STDDEV_POP(score) AS sd FROM ev GROUP BY system)", "fz AS (SELECT 1 AS g, filename, y, ROUND(AVG((score - mu) / sd), 6) AS score FROM ev JOIN st ON st.system = ev.system WHERE ev.system IN (SELECT system FROM top) GROUP BY filename, y)", curve_sql("fz", "g", "fc"), eer_sql("fc", "g", "fe")) + " SELECT eer, threshold FROM fe",
     # N: narrative analyses
     "q_rescue_ratio": with_(BASE, EV, *EER, "ok AS (SELECT ev.filename, ev.system, CASE WHEN (score >= threshold AND y = 1) OR (score < threshold AND y = 0) THEN 1 ELSE 0 END AS good FROM ev JOIN eer ON eer.system = ev.system)") + " SELECT a.system AS s1, b.system AS s2, ROUND(AVG(CASE WHEN a.good = 0 THEN CAST(b.good AS DOUBLE) END), 9) AS rescue, ROUND(AVG(CASE WHEN a.good = 0 THEN CAST(b.good AS DOUBLE) END) / (1 - MAX(e.eer)), 9) AS ratio FROM ok a JOIN ok b ON a.filename = b.filename AND a.system <> b.system JOIN eer e ON e.system = b.system GROUP BY 1, 2",
-    "q_checkpoint_delta": with_(LOG) + " SELECT ROUND(MIN(dev_eer), 9) AS best, ROUND(MAX(CASE WHEN epoch = last THEN dev_eer END), 9) AS final, ROUND(MAX(CASE WHEN epoch = last THEN dev_eer END) - MIN(dev_eer), 9) AS delta FROM (SELECT *, MAX(epoch) OVER () AS last FROM log) x",
     "q_padding_fraction": with_(BASE, "ts AS (SELECT 20 * (r_regionkey + 1) AS t FROM [region])") + " SELECT t, ROUND(AVG(CASE WHEN y = 1 THEN CASE WHEN n_frames < t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END), 9) AS bonafide, ROUND(AVG(CASE WHEN y = 0 THEN CASE WHEN n_frames < t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END), 9) AS spoof FROM base CROSS JOIN ts GROUP BY t",
     "q_class_separation": with_(BASE) + " SELECT system, ROUND(ABS(AVG(CASE WHEN y = 1 THEN score END) - AVG(CASE WHEN y = 0 THEN score END)) / SQRT((VAR_SAMP(CASE WHEN y = 1 THEN score END) * (SUM(y) - 1) + VAR_SAMP(CASE WHEN y = 0 THEN score END) * (SUM(1 - y) - 1)) / (COUNT(*) - 2)), 6) AS separation FROM trials GROUP BY system",
     "q_scale_drift": with_(BASE, "st AS (SELECT part, system, AVG(score) AS mu, STDDEV_POP(score) AS sd FROM trials GROUP BY 1, 2)") + " SELECT a.system, b.part, ROUND(b.mu - a.mu, 6) AS shift, ROUND(b.sd / a.sd, 6) AS sd_ratio FROM st a JOIN st b ON a.system = b.system WHERE a.part = 'eval' AND b.part <> 'eval'",
     "q_level_groups": with_(BASE, EV, curve_sql("ev", "system, h"), eer_sql("curve", "system, h")) + " SELECT system, CASE WHEN h < 8 THEN 'night' WHEN h < 16 THEN 'day' ELSE 'evening' END AS grp, ROUND(AVG(eer), 9) AS mean, ROUND(MAX(eer) - MIN(eer), 9) AS spread FROM eer GROUP BY 1, 2",
     "q_mechanical_share": with_(BASE, "sc AS (SELECT 'all' AS arm, * FROM trials WHERE part = 'progress' UNION ALL SELECT 'short' AS arm, * FROM trials WHERE part = 'progress' AND n_frames <= 50 UNION ALL SELECT 'target' AS arm, * FROM trials WHERE part = 'eval')", curve_sql("sc", "arm, system"), eer_sql("curve", "arm, system")) + " SELECT a.system, ROUND(CASE WHEN t.eer = a.eer THEN NULL ELSE (s.eer - a.eer) / (t.eer - a.eer) END, 6) AS share FROM eer a JOIN eer s ON s.system = a.system JOIN eer t ON t.system = a.system WHERE a.arm = 'all' AND s.arm = 'short' AND t.arm = 'target'",
     "q_parabola_vertex": with_(SWEEP, "m AS (SELECT c, AVG(eer) AS e FROM sweep GROUP BY c)", "p AS (SELECT CAST(c AS DOUBLE) AS x2, e AS y2, LAG(CAST(c AS DOUBLE)) OVER (ORDER BY c) AS x1, LAG(e) OVER (ORDER BY c) AS y1, LEAD(CAST(c AS DOUBLE)) OVER (ORDER BY c) AS x3, LEAD(e) OVER (ORDER BY c) AS y3 FROM m)") + " SELECT ROUND(x2 - 0.5 * ((x2 - x1) * (x2 - x1) * (y2 - y3) - (x2 - x3) * (x2 - x3) * (y2 - y1)) / NULLIF((x2 - x1) * (y2 - y3) - (x2 - x3) * (y2 - y1), 0), 4) AS vertex FROM p WHERE x1 IS NOT NULL AND x3 IS NOT NULL",
-    "q_axis_sweep": with_(BASE, "ax AS (SELECT 20 * (r_regionkey + 1) AS t FROM [region])", "sw AS (SELECT t, system, y, score FROM trials JOIN ax ON n_frames <= t WHERE part = 'eval' AND system <> 'B')", curve_sql("sw", "t, system"), eer_sql("curve", "t, system")) + " SELECT t, system, eer, nb + ns AS n FROM eer",
     # S, K, F, G: parsing, writing, completeness
     "q_path_lookup": with_("f AS (SELECT page_id, url, {{AT:split(url, '/')|3}} AS lang FROM [pages])") + " SELECT page_id, lang, regexp_replace(url, '^.*/', '') AS stem FROM f",
     "q_zero_padded": "SELECT c_custkey, {{PAD:c_custkey}} AS code FROM [customer]",

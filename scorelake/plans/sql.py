@@ -19,6 +19,8 @@ SPELLED = {
     "CUT": ("slice(%1, %2 + 1, %3)", "(%1)[%2 + 1:%2 + %3]"),
     "SEQ": ("sequence(0, %1 - 1)", "range(%1)"),
     "TILE": ("flatten(array_repeat(%1, %2))", "flatten(list_transform(range(%2), lambda i: %1))"),
+    "CAT": ("concat(%1, %2)", "list_concat(%1, %2)"),
+    "ZEROS": ("array_repeat(cast(0 as double), %1)", "list_transform(range(%1), lambda zz: cast(0 as double))"),
     "RINT": ("rint(%1)", "round_even(%1, 0)"),
     "ARR": ("array(%1)", "[%1]"),
     "TXT": ("string", "varchar"),
