@@ -35,17 +35,63 @@ def fourier_features(rows: DataFrame, gamma: float, n: int = 128, seed: int = 0)
     return rows.mapInArrow(run, f"{fields}, z array<double>").withColumn("features", array_to_vector("z")).drop("z")
 
 
+def standardised(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """Arrays less the training rows' means, over their deviations; a deviation of zero counts as 1. A row of statistics."""
+    d = len(train.select("x").first()[0])
+    st = train.select(*[F.struct(F.avg(F.col("x")[i]).alias("m"), F.stddev_pop(F.col("x")[i]).alias("d")).alias(f"s{i}") for i in range(d)]).first()
+    mean, dev = F.array(*[F.lit(float(s.m)) for s in st]), F.array(*[F.lit(float(s.d or 1.0)) for s in st])
+    z = F.zip_with(F.zip_with("x", mean, lambda a, b: a - b), dev, lambda a, b: a / b)
+    return [df.withColumn("x", z) for df in (train, *others)]
+
+
 def rbf_svm_scores(train: DataFrame, test: DataFrame, c: float = 1.0, gamma: float = 0.01) -> DataFrame:
-    """An approximate RBF SVM; score is the decision value. Rows carry x and y."""
+    """An approximate RBF SVM on standardised rows; score is the decision value. Rows carry x and y."""
+    train, test = standardised(train, test)
     fit = class_weights(fourier_features(train, gamma)).withColumn("label", F.col("y").cast("double"))
     model = LinearSVC(regParam=1.0 / (c * max(train.count(), 1)), weightCol="weight", maxIter=20).fit(fit)
     return model.transform(fourier_features(test, gamma)).withColumn("score", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "prediction")
 
 
-def forest(train: DataFrame, trees: int = 300, seed: int = 42):
-    """A balanced random forest."""
+#: The whole sweep: training sizes (None: all rows), C and gamma.
+SIZES, CS, GAMMAS = (1000, 2000, 5000, 10000, 20000, 50000, None), (0.1, 1.0, 10.0, 100.0), (0.0001, 0.001, 0.01, 0.1)
+
+
+def svm_sweep(train: DataFrame, dev: DataFrame, path: str, sizes=SIZES, cs=CS, gammas=GAMMAS) -> DataFrame:
+    """n_train, c, gamma, eer of every point of a grid; each is written as it is done, and a run that was cut short takes up
+    where it stopped. Sizes are stratified samples by hash. The loop is over fits, each of them distributed."""
+    from ..operators import metrics, ordering
+
+    spark = train.sparkSession
+    try:
+        done = {(r.n_train, r.c, r.gamma) for r in spark.read.parquet(path).collect()}  # a row a point
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = set()
+    rows = ordering.numbered(train.withColumn("_u", F.xxhash64("filename")), ["y"], "_u", ["filename"]).persist()
+    total = rows.count()
+    for n in sizes:
+        some = rows.where(F.col("position") <= F.ceil(F.col("position_total") * F.lit(min(1.0, (n or total) / max(total, 1)))))
+        for c in cs:
+            for g in gammas:
+                if (n or total, c, g) not in done:
+                    scored = rbf_svm_scores(some.select("filename", "x", "y"), dev, c, g).withColumn("g", F.lit(1))
+                    point = metrics.eer(scored, ["g"]).select(F.lit(n or total).cast("long").alias("n_train"), F.lit(c).alias("c"), F.lit(g).alias("gamma"), "eer")
+                    point.write.mode("append").parquet(path)
+    rows.unpersist()
+    return spark.read.parquet(path)
+
+
+def refit_best(sweep: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """The scores of the sweep's best point, fitted on all rows."""
+    best = sweep.orderBy("eer", "c", "gamma").first()
+    return rbf_svm_scores(train, test, best.c, best.gamma)
+
+
+def forest(train: DataFrame, trees: int = 300, seed: int = 42, depth: int = 30):
+    """A balanced random forest; 30 is the greatest depth that Spark's trees can have."""
     fit = class_weights(train).withColumn("features", array_to_vector("x")).withColumn("label", F.col("y").cast("double"))
-    return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed, maxDepth=8).fit(fit)
+    return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed, maxDepth=depth).fit(fit)
 
 
 def forest_scores(model, rows: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Signal operators on arrays of samples (D01-D03, D05, D06, D12-D14, D16, D17): numpy kernels run in Arrow batches.
 
-Choices where publications leave room: magnitudes of centred Hann frames, reflected at the edges; mel scale 2595 log10(1 + f/700);
-deltas are regression slopes with repeated edges; the constant-Q kernels are windowed complex exponentials (Brown, 1991).
+Choices where publications leave room: magnitudes of centred Hann frames, reflected at the edges; the mel scale that is linear up to
+1 kHz (Slaney), with bands of equal area; deltas are derivatives of a polynomial fitted to the frames around, at the edges of the
+first and last full windows; the constant-Q kernels are windowed complex exponentials (Brown, 1991).
 """
 
 from __future__ import annotations
@@ -37,13 +38,15 @@ def linear_bank(n: int = 70) -> np.ndarray:
 
 
 @lru_cache(None)
-def mel_bank(n: int = 40) -> np.ndarray:
-    mel = lambda x: 2595 * np.log10(1 + x / 700)
-    edges = 700 * (10 ** (np.linspace(0, mel(RATE / 2), n + 2) / 2595) - 1)
+def mel_bank(n: int = 128) -> np.ndarray:
+    """Triangles between points that are even on the mel scale: 200/3 Hz a mel up to 1 kHz, then 27 steps to 6.4 kHz."""
+    step, top = np.log(6.4) / 27, 15 + np.log(RATE / 2 / 1000) / (np.log(6.4) / 27)
+    at = np.linspace(0, top, n + 2)
+    edges = np.where(at < 15, at * 200 / 3, 1000 * np.exp(step * (np.maximum(at, 15) - 15)))
     f = np.arange(FFT // 2 + 1) * RATE / FFT
     up = (f[None, :] - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - f[None, :]) / (edges[2:] - edges[1:-1])[:, None]
-    return np.maximum(0, np.minimum(up, down))
+    return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
 @lru_cache(None)
@@ -54,19 +57,21 @@ def dct(n: int, k: int) -> np.ndarray:
     return m
 
 
-def deltas(c: np.ndarray, width: int = 9) -> np.ndarray:
-    """Regression slopes over up to width frames; zeros under three frames."""
+def deltas(c: np.ndarray, width: int = 9, order: int = 1) -> np.ndarray:
+    """The derivative of that order of a polynomial of that degree, fitted to up to width frames (Savitzky and Golay); the
+    frames before the first and after the last full window have that window's. Zeros under three frames."""
     t = len(c)
     if t < 3:
         return np.zeros_like(c)
     h = min(width, t - (t + 1) % 2) // 2
-    p = np.pad(c, ((h, h), (0, 0)), mode="edge")
-    return sum(n * (p[h + n : h + n + t] - p[h - n : h - n + t]) for n in range(1, h + 1)) / (2 * sum(n * n for n in range(1, h + 1)))
+    n = np.arange(-h, h + 1.0)
+    w = n / (n**2).sum() if order == 1 else 2 * (n**2 - (n**2).mean()) / ((n**2 - (n**2).mean()) ** 2).sum()
+    full = sum(w[i] * c[i : t - 2 * h + i] for i in range(2 * h + 1))
+    return np.pad(full, ((h, h), (0, 0)), mode="edge")
 
 
 def stacked(c: np.ndarray) -> np.ndarray:
-    d = deltas(c)
-    return np.hstack([c, d, deltas(d)])
+    return np.hstack([c, deltas(c), deltas(c, order=2)])
 
 
 def lfcc(y: np.ndarray) -> np.ndarray:
@@ -76,7 +81,8 @@ def lfcc(y: np.ndarray) -> np.ndarray:
 
 def mfcc_pooled(y: np.ndarray) -> np.ndarray:
     """Means and population deviations of 60 coefficients."""
-    c = stacked(10 * np.log10(spectra(y) @ mel_bank().T + 1e-10) @ dct(40, 20).T)
+    db = 10 * np.log10(np.maximum(spectra(y) @ mel_bank().T, 1e-10))
+    c = stacked(np.maximum(db, db.max() - 80) @ dct(128, 20).T)
     return np.concatenate([c.mean(0), c.std(0)])
 
 
@@ -86,7 +92,7 @@ def cq_kernels(bins: int, octave: int, low: float):
     q = 1 / (2 ** (1 / octave) - 1)
     for k in range(bins):
         f = low * 2 ** (k / octave)
-        n = int(min(np.ceil(q * RATE / f), 8192))
+        n = int(np.ceil(q * RATE / f))
         out.append(np.hanning(n) * np.exp(2j * np.pi * f / RATE * np.arange(n)) / n)
     return out
 
@@ -104,6 +110,12 @@ def cqt_uint8(y: np.ndarray, bins: int = 90, octave: int = 12, hop: int = 256, l
     return np.clip(np.rint((np.maximum(db, -80) + 80) / 80 * 255), 0, 255).astype(np.uint8)
 
 
+def cq_cepstra(record: np.ndarray, bins: int, keep: int = 20) -> np.ndarray:
+    """A record of 0 to 255, bins by frames, as decibels, transformed over the bins, with deltas: frames by 3 x keep."""
+    db = np.asarray(record, np.float64).reshape(bins, -1) / 255 * 80 - 80
+    return stacked(db.T @ dct(bins, keep).T)
+
+
 def noisy(y, r):
     """Noise at 10 to 30 dB, half of the time smoothed."""
     n = r.normal(size=len(y))
@@ -146,7 +158,7 @@ def augmented(y: np.ndarray, seed: int) -> np.ndarray:
 
 def pooled(signals: DataFrame, kernel: str, key: str = "filename", column: str = "y") -> DataFrame:
     """key, x, error: a kernel's result for each signal, flattened; a failure is kept as data."""
-    kernels = {"mfcc": mfcc_pooled, "lfcc": lambda y: lfcc(y).ravel(), "cqt": lambda y: cqt_uint8(y).ravel().astype(float)}
+    kernels = {"mfcc": mfcc_pooled, "lfcc": lambda y: lfcc(y).ravel(), "cqt": lambda y: cqt_uint8(y).ravel().astype(float), "cepstra8": lambda y: cq_cepstra(y, 8, 5).ravel()}
     kind = dict(signals.dtypes)[key]
 
     def run(batches):
@@ -155,15 +167,22 @@ def pooled(signals: DataFrame, kernel: str, key: str = "filename", column: str =
         import pyarrow as pa
 
         for b in batches:
-            keys, xs, errors = b.column(0).to_pylist(), [], []
-            for k, y in zip(keys, b.column(1).to_pylist()):
+            keys, signal = b.column(0).to_pylist(), b.column(1)
+            flat, ends = signal.values.to_numpy(zero_copy_only=False), signal.offsets.to_numpy()
+            there, xs, errors = signal.is_valid().to_pylist(), [], []
+            for k, ok, lo, hi in zip(keys, there, ends[:-1], ends[1:]):
                 try:
-                    y = np.array(y, np.float64)
-                    xs.append((augmented(y, zlib.crc32(str(k).encode())) if kernel == "augment" else kernels[kernel](y)).tolist())
+                    if not ok:
+                        raise ValueError("no signal")
+                    y = flat[lo:hi]
+                    xs.append(augmented(y, zlib.crc32(str(k).encode())) if kernel == "augment" else kernels[kernel](y))
                     errors.append(None)
                 except (TypeError, ValueError) as e:
                     xs.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.list_(pa.float64())), pa.array(errors, pa.string())], [key, "x", "error"])
+            sizes = [0 if x is None else len(x) for x in xs]
+            values = pa.array(np.concatenate([np.zeros(0), *[x for x in xs if x is not None]]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values, mask=pa.array([x is None for x in xs]))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(errors, pa.string())], [key, "x", "error"])
 
     return signals.select(key, F.col(column).cast("array<double>").alias(column)).mapInArrow(run, f"{key} {kind}, x array<double>, error string")

@@ -1,4 +1,4 @@
-"""Score fusion (L01-L08, R11, R12): z-normalisation, logistic and equal weights, speaker-disjoint cross-validation, one-SE choice."""
+"""Score fusion (L01-L06, R11): z-normalisation, logistic and equal weights, speaker-disjoint cross-validation, one-SE choice."""
 
 from __future__ import annotations
 
@@ -55,10 +55,10 @@ def cross_validate(wide: DataFrame, candidates: dict[str, Sequence[str]], k: int
     The loop runs over candidates and folds, each fit a distributed one; all held-out scores are evaluated in one query.
     """
     folds = speaker_folds(wide, k, seed)
-    rows = wide.join(F.broadcast(folds), "speaker")  # one row a speaker
+    rows = wide.join(F.broadcast(folds), "speaker").persist()  # one row a speaker
     scored = None
     for name, systems in candidates.items():
-        for trained in (True, False) if len(systems) > 1 else (True,):
+        for trained in (True, False) if len(systems) > 1 else (False,):  # a weight of its own does not change one system's order
             for f in range(1, k + 1):
                 fit, apply = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
                 stats = statistics(fit, systems)
@@ -66,7 +66,7 @@ def cross_validate(wide: DataFrame, candidates: dict[str, Sequence[str]], k: int
                 part = fused(znormed(apply, stats), systems, coef, b).select(F.lit(name).alias("candidate"), F.lit(len(systems)).alias("n_systems"), F.lit("trained" if trained else "equal").alias("weights"), "fold", "y", "score")
                 scored = part if scored is None else scored.unionByName(part)
     by = ["candidate", "n_systems", "weights"]
-    e = metrics.eer(scored, [*by, "fold"])
+    e = metrics.eer(scored.persist(), [*by, "fold"])
     return e.groupBy(*by).agg(F.avg("eer").alias("cv_eer"), (F.stddev_samp("eer") / F.sqrt(F.count("eer"))).alias("cv_eer_se"), F.count("*").alias("folds"))
 
 

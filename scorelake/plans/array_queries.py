@@ -44,7 +44,6 @@ TEXT = {
     "q_frame_explode": with_(V, FRAMES) + " SELECT vec_id, COUNT(*) AS n, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_POP(v), 6) AS sd FROM frames GROUP BY vec_id",
     "q_gmm_logdensity": with_(V, MIX) + " SELECT vec_id, ROUND(ll, 5) AS ll FROM ll",
     "q_gmm_em_step": with_(V, MIX, "g AS (SELECT lp.vec_id, lp.k, EXP(l - ll) AS r FROM lp JOIN ll ON ll.vec_id = lp.vec_id)", "s AS (SELECT g.k, f.n, SUM(r) AS nk, SUM(r * v) AS sk, SUM(r * v * v) AS tk FROM g JOIN frames f ON f.vec_id = g.vec_id GROUP BY g.k, f.n)") + " SELECT k, CAST(n AS INT) AS n, ROUND(nk, 5) AS nk, ROUND(sk / nk, 6) AS mean, ROUND(GREATEST(tk / nk - (sk / nk) * (sk / nk), cast(0 as double)) + 1e-6, 6) AS var FROM s",
-    "q_file_llr": with_(V, MIX, "two AS (SELECT vec_id, label, MAX(CASE WHEN k = 0 THEN l END) - MAX(CASE WHEN k = 1 THEN l END) AS llr FROM (SELECT lp.vec_id, label, k, l FROM lp JOIN vecs ON vecs.vec_id = lp.vec_id) z GROUP BY vec_id, label)") + " SELECT label, ROUND(AVG(llr), 5) AS llr, COUNT(*) AS n FROM two GROUP BY label",
 }
 
 QUERIES = {k: spark(v) for k, v in TEXT.items()}
