@@ -5,29 +5,37 @@ removed; matches stay within documents and are judged on the input.
 
 Textbook prefix doubling sorts a (rank, rank) pair for every byte position in every round: at 24 bytes a pair that is tens
 of times the input in each shuffle. What the result needs is less: whether the LENGTH-byte prefix of a suffix has been seen.
-So positions are discarded before they are ever sorted:
+So positions are discarded before they are ever sorted, and the rounds run on those that stay:
 
 1. Whole texts that occur again are settled by their digest; only the first copy goes on.
 2. A window of LENGTH bytes is represented by its anchor, the least hash among its SEED-byte strings (rightmost of equal
-   ones): equal windows have equal anchors at equal offsets. Spark sorts the anchors, the ranks of prefixes of SEED bytes;
-   unique ones are discarded with all their windows. Anchors repeated within a batch need no counting and leave a marker.
-3. The bytes around the others are sorted by anchor, and prefix doubling names their windows: the name at length 2n is made
-   from the pair of names at offsets 0 and n, up to LENGTH. Equal names are compared byte by byte. Each batch settles its
-   own repeats before the shuffle and sends on only what it saw first.
+   ones): equal windows have equal anchors at equal offsets. Spark sorts the anchors, the ranks of SEED = 20 bytes; unique
+   ones are discarded with all their windows.
+3. Rounds: a rank at length 2h is made from the pair of ranks (rank[i], rank[i + h]). At h = 20, then 40, Spark sorts the
+   pairs of all positions i on the anchors' grids that lie in such windows; positions whose pair is unique are discarded,
+   the others go on with their new rank. A frequent anchor so falls apart by what surrounds it.
+4. Past 80 bytes the threshold is an overlap away: windows that share a rank of 80 bytes are sorted by it and by place, and
+   their LENGTH bytes compared; the first of equal ones stays.
+
+Before each shuffle a batch settles its own repeats: ranks repeated within it need no counting and leave one marker, and of
+equal windows it sends on only what it saw first. So a string in a third of all texts sends a row a batch to its task.
 
 Defined cases: a null text is empty; texts under LENGTH bytes keep all; a null doc_id comes after all others; rows with equal
-doc_id and text are one document, with equal doc_id and other texts they follow each other by digest; an empty table gives
-an empty table; extra columns are ignored.
+doc_id and text are one document, with equal doc_id and other texts they follow each other by digest; very long texts are
+taken whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 LENGTH, SEED = 100, 20
+#: The length of the last rank, after two doublings.
+LAST_RANK = 4 * SEED
 #: Documents above this size are cut into tiles that overlap by a window.
 TILE = 1 << 23
 #: Texts are cut into pieces together up to so many bytes, which bounds the arrays over their windows.
@@ -38,8 +46,6 @@ BASE = 0x100000001B3
 
 def names(buf, length: int):
     """64-bit names of all strings of a length in a byte array, by doubling: each from a pair of shorter ones."""
-    import numpy as np
-
     if len(buf) < length:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
@@ -60,8 +66,6 @@ def names(buf, length: int):
 
 def anchors(data: bytes, length: int = LENGTH, seed: int = SEED):
     """name, position, first and last window start of each anchor of a text."""
-    import numpy as np
-
     found = []
     span = length - seed + 1
     for t in range(0, max(len(data) - length + 1, 0), TILE):
@@ -80,11 +84,31 @@ def anchors(data: bytes, length: int = LENGTH, seed: int = SEED):
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
 
 
+def ranks(buf, at):
+    """The ranks at 40 and at 80 bytes of the strings that begin at some places of a byte array: doubled from ranks of SEED
+    bytes, each from the pair at offsets 0 and half its length."""
+    powers = np.cumprod(np.full(SEED, BASE, np.uint64))
+    view = np.lib.stride_tricks.sliding_window_view(buf, LAST_RANK)
+    out = np.empty((2, len(at)), np.uint64)
+    for s in range(0, len(at), 50_000):
+        cells = view[at[s : s + 50_000]].reshape(-1, LAST_RANK // SEED, SEED).astype(np.uint64) + np.uint64(1)
+        rank = scrambled((cells * powers).sum(-1, dtype=np.uint64))
+        for k in range(2):
+            rank = scrambled(rank[:, 0::2] * np.uint64(0xD6E8FEB86659FD93) + rank[:, 1::2])
+            out[k, s : s + 50_000] = rank[:, 0]
+    return out.view(np.int64)
+
+
+def scrambled(x):
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
 def repeats(ids, subs, starts, pieces, length: int = LENGTH):
     """For pieces of texts: their order by place (id, sub, start), and for all their windows in that order the ordinal of
-    the piece, the window's start in its text, and whether an earlier window of another place holds the same bytes."""
-    import numpy as np
-
+    the piece, the window's start in its text, whether an earlier window of another place holds the same bytes, and two
+    names of its bytes."""
     order = np.lexsort((starts, subs, ids))
     ids, subs, starts = ids[order], subs[order], starts[order]
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[order]
@@ -93,7 +117,7 @@ def repeats(ids, subs, starts, pieces, length: int = LENGTH):
     of = np.repeat(np.arange(len(order)), wins)
     at = np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins)
     where, pos = begin[of] + at, starts[of] + at
-    name = names(buf, length)[where]
+    name, other = names(buf, length)[where], names(PERMUTED[buf], length)[where]
     by = np.argsort(name, kind="stable")
     new = np.concatenate([[True], name[by][1:] != name[by][:-1]]) if len(by) else np.zeros(0, bool)
     first = np.empty(len(by), np.int64)
@@ -114,9 +138,11 @@ def repeats(ids, subs, starts, pieces, length: int = LENGTH):
         for w in range(len(first)):
             p = (int(ids[of[w]]), int(subs[of[w]]), int(pos[w]))
             dup[w] = seen.setdefault(view[where[w]].tobytes(), p) != p
-    return order, of, pos, dup
+    return order, of, pos, dup, name, other
 
 
+#: Bytes in another order, for a second, independent name.
+PERMUTED = np.argsort([(i * 167 + 89) * (i * 3 + 1) % 1021 for i in range(256)], kind="stable").astype(np.uint8)
 #: Anchors: their windows start at lo to lo + more, the anchor is at lo + off; known: repeated in its batch; off < 0: a marker.
 FOUND = "h long, id long, sub long, lo int, more int, off int, known boolean"
 #: Pieces of a text from start, or, without piece, removed bytes from start to till.
@@ -125,7 +151,6 @@ PIECE = "h long, id long, sub long, start int, piece binary, till int"
 
 def find_anchors(batches):
     """(id, sub, body) to anchors. Those repeated in a batch are known; each of these leaves one marker row to be counted."""
-    import numpy as np
     import pyarrow as pa
 
     for whole in batches:
@@ -138,23 +163,65 @@ def find_anchors(batches):
                 continue
             h, at, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(4))
             who, sub = np.repeat(ids, n), np.repeat(subs, n)
-            _, first, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            mark = first[times > 1]
-            pick = np.concatenate([np.arange(len(h)), mark])
-            off = (at - lo)[pick].astype(np.int32)
-            off[len(h) :] = -1
-            known = np.concatenate([times[back] > 1, np.zeros(len(mark), bool)])
-            cols = [h[pick], who[pick], sub[pick], lo[pick].astype(np.int32), (hi - lo)[pick].astype(np.int32), off, known]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "id", "sub", "lo", "more", "off", "known"])
+            yield marked(h, {"id": who, "sub": sub, "lo": lo.astype(np.int32), "more": (hi - lo).astype(np.int32), "off": (at - lo).astype(np.int32)})
+
+
+def marked(h, cols: dict):
+    """A batch of rows with h and known: whether h is repeated in it; each such h leaves a marker, a row with off < 0."""
+    import pyarrow as pa
+
+    _, first, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    mark = first[times > 1]
+    pick = np.concatenate([np.arange(len(h)), mark])
+    cols = {k: v[pick] for k, v in cols.items()}
+    cols["off"][len(h) :] = -1
+    known = np.concatenate([times[back] > 1, np.zeros(len(mark), bool)])
+    return pa.RecordBatch.from_arrays([pa.array(h[pick]), *map(pa.array, cols.values()), pa.array(known)], ["h", *cols, "known"])
+
 
+def refine(batches):
+    """(id, sub, body, found: list of lo, more, off) to the ranks at 40 and 80 bytes that hold the anchors: of the windows from
+    lo to lo + more, those with the anchor up to 19 bytes after a place of its grid share the 80 bytes from there."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for s in range(0, whole.num_rows, 2000):
+            b = whole.slice(s, 2000)
+            found = b.column(3)
+            n = np.diff(found.offsets.to_numpy())
+            cells = found.flatten()
+            lo, more, off = (cells.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            if not len(lo):
+                continue
+            bodies = b.column(2).to_pylist()
+            sizes = np.array([len(x) for x in bodies])
+            begin = np.repeat(np.cumsum(sizes) - sizes, n)
+            ids, subs = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+            p, parts = lo + off, []
+            for a in range(0, LAST_RANK, SEED):
+                first = np.maximum(lo, p - a - (SEED - 1 if a + SEED < LAST_RANK else LENGTH - LAST_RANK))
+                last = np.minimum(lo + more, p - a)
+                k = np.nonzero(first <= last)[0]
+                parts.append((k, first[k], last[k], (p - a)[k]))
+            k, first, last, x = (np.concatenate(c) for c in zip(*parts))
+            r40, r80 = ranks(np.frombuffer(b"".join(bodies), np.uint8), begin[k] + x)
+            yield marked(r40, {"h2": r80, "id": ids[k], "sub": subs[k], "lo": first.astype(np.int32), "more": (last - first).astype(np.int32), "off": (x - first).astype(np.int32)})
+
+
+def again(batches):
+    """Rows that the first round kept, under their next rank."""
+    for b in batches:
+        if b.num_rows:
+            h2, *rest = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            yield marked(h2, dict(zip(("id", "sub", "lo", "more", "off"), [*rest[:4], np.array(rest[4])])))
 
-def keep_repeated(batches):
+
+def keep_repeated(batches, more: tuple = ()):
     """Rows sorted by h: passes known rows and those whose h a neighbour shares; markers go."""
-    import numpy as np
     import pyarrow as pa
 
     held = None  # the last row so far that waits for its successor, with whether its predecessor shared its h
-    cols = ["id", "sub", "lo", "more", "off"]
+    cols = [*more, "id", "sub", "lo", "more", "off"]
     for b in batches:
         if not b.num_rows:
             continue
@@ -190,16 +257,34 @@ def keep_repeated(batches):
 
 def settle(batches, final: bool):
     """Rows of PIECE: a piece with its windows. Windows that an earlier one of the batch equals become removed intervals
-    (piece null, start to till); before the shuffle the other windows go on, after it they are done. After the shuffle
-    batches are cut between anchors."""
-    import numpy as np
+    (piece null, start to till); before the shuffle the other windows go on, after it they are done. After the shuffle rows
+    come by h and place, and of the windows of an h that goes on in the next batch the names are remembered: two numbers for
+    each different window around one string of 80 bytes."""
     import pyarrow as pa
 
+    seen: list = [None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # an h, and its windows' names in order
+
+    def remembered(h, dup, name, other):
+        known = np.nonzero(h == seen[0])[0] if seen[0] is not None and len(seen[1]) else np.zeros(0, np.int64)
+        if len(known):
+            k = np.minimum(np.searchsorted(seen[1], name[known]), len(seen[1]) - 1)
+            dup[known[(seen[1][k] == name[known]) & (seen[2][k] == other[known])]] = True
+        last = h.max() if len(h) else None
+        if last is None:
+            return
+        new = (h == last) & ~dup
+        kept = (seen[1], seen[2]) if last == seen[0] else (np.zeros(0, np.uint64),) * 2
+        a, b = np.concatenate([kept[0], name[new]]), np.concatenate([kept[1], other[new]])
+        order = np.argsort(a, kind="stable")
+        seen[:] = last, a[order], b[order]
+
     def work(t):
         h, ids, subs, start = (t.column(c).to_numpy() for c in ("h", "id", "sub", "start"))
         pieces = t.column("piece").to_pylist()
-        order, of, pos, dup = repeats(ids, subs, start, pieces)
+        order, of, pos, dup, name, other = repeats(ids, subs, start, pieces)
         h, ids, subs, start = h[order], ids[order], subs[order], start[order]
+        if final:
+            remembered(h[of], dup, name, other)
         # removed: runs of windows that follow each other in one text, over pieces
         w = np.nonzero(dup)[0]
         cut = (pos[w][1:] != pos[w][:-1] + 1) | (ids[of[w]][1:] != ids[of[w]][:-1]) | (subs[of[w]][1:] != subs[of[w]][:-1])
@@ -216,23 +301,13 @@ def settle(batches, final: bool):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c if isinstance(c, list) else c.astype(np.int64), pa.binary()) if k == pa.binary() else pa.array(c.astype(np.int64)).cast(k) for c, k in zip(rows, kinds)], ["h", "id", "sub", "start", "piece", "till"])
 
-    rest = None
     for b in batches:
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-        rest = None
-        if final:
-            h = t.column("h").to_numpy()
-            cut = int(np.nonzero(h != h[-1])[0][-1]) + 1 if len(h) and (h != h[-1]).any() else 0
-            t, rest = t.slice(0, cut), t.slice(cut)
-        if t.num_rows:
-            yield work(t)
-    if rest is not None and rest.num_rows:
-        yield work(rest)
+        if b.num_rows:
+            yield work(pa.Table.from_batches([b]))
 
 
 def cut_pieces(batches):
     """(id, sub, body, found: list of lo, more, off) to pieces, settled within batches."""
-    import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -247,13 +322,14 @@ def cut_pieces(batches):
                 lo, more, off = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
                 if not len(lo):
                     continue
-                end, h, parts = np.cumsum(n), [], []
-                for body, z, k in zip(b.column(2).to_pylist(), end.tolist(), n.tolist()):
+                end, parts, bodies = np.cumsum(n), [], b.column(2).to_pylist()
+                for body, z, k in zip(bodies, end.tolist(), n.tolist()):
                     mine = slice(z - k, z)
-                    h.append(names(np.frombuffer(body, np.uint8), SEED)[lo[mine] + off[mine]].view(np.int64))
                     parts += [body[x : x + m + LENGTH] for x, m in zip(lo[mine].tolist(), more[mine].tolist())]
+                sizes = np.array([len(x) for x in bodies])
+                _, h = ranks(np.frombuffer(b"".join(bodies), np.uint8), np.repeat(np.cumsum(sizes) - sizes, n) + lo + off)
                 ids, subs = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(ids), pa.array(subs), pa.array(lo.astype(np.int32)), pa.array(parts, pa.binary())], ["h", "id", "sub", "start", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(subs), pa.array(lo.astype(np.int32)), pa.array(parts, pa.binary())], ["h", "id", "sub", "start", "piece"])
 
     yield from settle(pieces(), final=False)
 
@@ -262,12 +338,11 @@ def remove(batches):
     """(id, sub, body, gone: list of start, till) to the result's columns, and the kept text."""
     import hashlib
 
-    import numpy as np
     import pyarrow as pa
 
     for b in batches:
-        out = [[], [], [], [], []]
-        for i, body, gone in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        out = [[], [], [], [], [], []]
+        for i, sub, body, gone in zip(*(b.column(k).to_pylist() for k in range(4))):
             n_removed = n_spans = 0
             kept = body
             if gone:
@@ -277,33 +352,45 @@ def remove(batches):
                 off = np.cumsum(d)[:-1] > 0
                 n_removed, n_spans = int(off.sum()), int(off[:1].sum() + (off[1:] & ~off[:-1]).sum())
                 kept = np.frombuffer(body, np.uint8)[~off].tobytes()
-            for c, x in zip(out, (i, len(body), n_removed, n_spans, hashlib.sha256(kept).hexdigest())):
+            for c, x in zip(out, (i, sub & 1, len(body), n_removed, n_spans, hashlib.sha256(kept).hexdigest())):
                 c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "lost", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), body.alias("body"))
+    doc_id = F.col("doc_id").cast("long")
+    base = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("id"), doc_id.isNull().cast("long").alias("lost"), body.alias("body"))
     digest = F.sha2("body", 256).alias("digest")
-    keys = base.select("id", digest, F.octet_length("body").cast("long").alias("n_bytes"))
-    first = keys.groupBy("digest").agg(F.min("id").alias("first"))
+    keys = base.select("id", "lost", digest, F.octet_length("body").cast("long").alias("n_bytes"))
+    first = keys.groupBy("digest").agg(F.min(F.struct("id", "lost")).alias("f")).select("digest", F.col("f.id").alias("first"), F.col("f.lost").alias("first_lost"))
     # one exchange of the texts, by id, serves the three passes over them
-    # sub tells the texts of one doc_id apart; without repeated ids it is 0 and costs the shuffles nothing
+    # sub tells the texts of one doc_id apart, and in its last bit those without one; without repeated ids the rest is 0 and
+    # costs the shuffles nothing
     rows, ids = keys.agg(F.count("*"), F.countDistinct("id")).first()
-    sub = F.xxhash64("digest") if rows != ids else F.lit(0).cast("long")
-    texts = base.repartition("id").withColumn("digest", F.sha2("body", 256)).withColumn("sub", sub)
-    mine = first.select(F.col("first").alias("id"), sub.alias("_sub"))
+    sub = lambda lost: F.xxhash64("digest").bitwiseAND(F.lit(-2)).bitwiseOR(F.col(lost)) if rows != ids else F.col(lost)
+    texts = base.repartition("id").withColumn("digest", F.sha2("body", 256)).withColumn("sub", sub("lost"))
+    mine = first.select(F.col("first").alias("id"), sub("first_lost").alias("_sub"))
     texts = texts.join(mine, "id").where("sub = _sub").select("id", "sub", "body")
 
     # known anchors are dealt by their place, the others by their name
     dealt = F.when(F.col("known"), F.xxhash64("id", "lo")).otherwise(F.col("h"))
     found = texts.mapInArrow(find_anchors, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, "id long, sub long, lo int, more int, off int")
-    per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "more", "off")).alias("found")).withColumnRenamed("sub", "_sub")
-    pieces = texts.join(per_text, "id").where("sub = _sub").select("id", "sub", "body", "found").mapInArrow(cut_pieces, PIECE)
-    # removed bytes are dealt by their text, what goes on by its anchor; one exchange holds both
-    dealt = pieces.repartition(F.when(F.col("piece").isNull(), F.xxhash64("id")).otherwise(F.col("h"))).sortWithinPartitions("h")
+
+    def by_text(found):
+        per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "more", "off")).alias("found")).withColumnRenamed("sub", "_sub")
+        return texts.join(per_text, "id").where("sub = _sub").select("id", "sub", "body", "found")
+
+    def first_round(batches):
+        return keep_repeated(batches, ("h2",))
+
+    row = "id long, sub long, lo int, more int, off int"
+    found = by_text(found).mapInArrow(refine, f"h long, h2 long, {row}, known boolean").repartition(dealt).sortWithinPartitions("h").mapInArrow(first_round, f"h2 long, {row}")
+    found = found.mapInArrow(again, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, row)
+    pieces = by_text(found).mapInArrow(cut_pieces, PIECE)
+    # removed bytes are dealt by their text, what goes on by its rank; one exchange holds both
+    dealt = pieces.repartition(F.when(F.col("piece").isNull(), F.xxhash64("id")).otherwise(F.col("h"))).sortWithinPartitions("h", "id", "sub", "start")
 
     def after(batches):
         import pyarrow.compute as pc
@@ -323,13 +410,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield ready.pop()
 
     gone = dealt.mapInArrow(after, PIECE).groupBy("id", "sub").agg(F.collect_list(F.struct("start", "till")).alias("gone")).withColumnRenamed("sub", "_sub")
-    kept = texts.join(gone, (texts["id"] == gone["id"]) & (texts["sub"] == gone["_sub"]), "left").select(texts["id"], "sub", "body", "gone").mapInArrow(remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kept = texts.join(gone, (texts["id"] == gone["id"]) & (texts["sub"] == gone["_sub"]), "left").select(texts["id"], "sub", "body", "gone").mapInArrow(remove, "id long, lost long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # further copies of a text: all of it goes, or nothing if it is short
-    copies = keys.join(first, "digest").where("id <> first")
+    copies = keys.join(first, "digest").where("id <> first or lost <> first_lost")
     long = F.col("n_bytes") >= LENGTH
-    copies = copies.select("id", "n_bytes", F.when(long, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), long.cast("long").alias("n_spans"), F.when(long, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("digest")).alias("kept_sha256"))
+    copies = copies.select("id", "lost", "n_bytes", F.when(long, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), long.cast("long").alias("n_spans"), F.when(long, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("digest")).alias("kept_sha256"))
     rows = kept.unionByName(copies)
-    return rows.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select(F.when(F.col("lost") == 0, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_prefix_doubling(spark, sf_dir: str) -> DataFrame:
