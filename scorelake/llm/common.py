@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, which is smaller than a checkpoint of many narrow rows."""
+    path = posixpath.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that are planned and run inside give their shuffle files back as they end, not when the driver's garbage goes."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, *names: str):
     """Column names that the table does not have, made from these; one for one name, else a list."""
     taken = {c.lower() for c in df.columns}

@@ -17,8 +17,9 @@ So positions are discarded before they are ever sorted, and the rounds run on th
 4. Past 80 bytes the threshold is an overlap away: windows that share a rank of 80 bytes are sorted by it and by place, and
    their LENGTH bytes compared; the first of equal ones stays.
 
-Before each shuffle a batch settles its own repeats: ranks repeated within it need no counting and leave one marker, and of
-equal windows it sends on only what it saw first. So a string in a third of all texts sends a row a batch to its task.
+Before each shuffle a batch settles its own repeats: ranks that are frequent in it need no counting, are dealt by their place
+and leave one marker, and of equal windows it sends on only what it saw first. So a string in a third of all texts sends a
+few rows a batch to its task. What the anchors and the rounds leave is written to the shared folder, and their shuffles end.
 
 Defined cases: a null text is empty; texts under LENGTH bytes keep all; a null doc_id comes after all others; rows with equal
 doc_id and text are one document, with equal doc_id and other texts they follow each other by digest; very long texts are
@@ -31,11 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shuffles_freed, stored, table
 
 LENGTH, SEED = 100, 20
 #: The length of the last rank, after two doublings.
 LAST_RANK = 4 * SEED
+#: Ranks that a batch holds so often are known to be repeated and need no counting.
+OFTEN = 8
 #: Documents above this size are cut into tiles that overlap by a window.
 TILE = 1 << 23
 #: Texts are cut into pieces together up to so many bytes, which bounds the arrays over their windows.
@@ -105,10 +108,10 @@ def scrambled(x):
     return x ^ (x >> np.uint64(29))
 
 
-def repeats(ids, subs, starts, pieces, length: int = LENGTH):
+def repeats(ids, subs, starts, pieces, length: int = LENGTH, twice: bool = False):
     """For pieces of texts: their order by place (id, sub, start), and for all their windows in that order the ordinal of
-    the piece, the window's start in its text, whether an earlier window of another place holds the same bytes, and two
-    names of its bytes."""
+    the piece, the window's start in its text, whether an earlier window of another place holds the same bytes, and a name
+    of its bytes; with twice, a second one."""
     order = np.lexsort((starts, subs, ids))
     ids, subs, starts = ids[order], subs[order], starts[order]
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[order]
@@ -117,7 +120,8 @@ def repeats(ids, subs, starts, pieces, length: int = LENGTH):
     of = np.repeat(np.arange(len(order)), wins)
     at = np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins)
     where, pos = begin[of] + at, starts[of] + at
-    name, other = names(buf, length)[where], names(PERMUTED[buf], length)[where]
+    name = names(buf, length)[where]
+    other = names(PERMUTED[buf], length)[where] if twice else None
     by = np.argsort(name, kind="stable")
     new = np.concatenate([[True], name[by][1:] != name[by][:-1]]) if len(by) else np.zeros(0, bool)
     first = np.empty(len(by), np.int64)
@@ -167,15 +171,15 @@ def find_anchors(batches):
 
 
 def marked(h, cols: dict):
-    """A batch of rows with h and known: whether h is repeated in it; each such h leaves a marker, a row with off < 0."""
+    """A batch of rows with h and known: whether h is there OFTEN; each such h leaves a marker, a row with off < 0."""
     import pyarrow as pa
 
     _, first, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    mark = first[times > 1]
+    mark = first[times >= OFTEN]
     pick = np.concatenate([np.arange(len(h)), mark])
     cols = {k: v[pick] for k, v in cols.items()}
     cols["off"][len(h) :] = -1
-    known = np.concatenate([times[back] > 1, np.zeros(len(mark), bool)])
+    known = np.concatenate([times[back] >= OFTEN, np.zeros(len(mark), bool)])
     return pa.RecordBatch.from_arrays([pa.array(h[pick]), *map(pa.array, cols.values()), pa.array(known)], ["h", *cols, "known"])
 
 
@@ -281,7 +285,7 @@ def settle(batches, final: bool):
     def work(t):
         h, ids, subs, start = (t.column(c).to_numpy() for c in ("h", "id", "sub", "start"))
         pieces = t.column("piece").to_pylist()
-        order, of, pos, dup, name, other = repeats(ids, subs, start, pieces)
+        order, of, pos, dup, name, other = repeats(ids, subs, start, pieces, twice=final)
         h, ids, subs, start = h[order], ids[order], subs[order], start[order]
         if final:
             remembered(h[of], dup, name, other)
@@ -357,6 +361,28 @@ def remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "lost", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+ROW = "id long, sub long, lo int, more int, off int"
+
+
+def by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """id, sub, body and the list of what was found in it."""
+    per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "more", "off")).alias("found")).withColumnRenamed("sub", "_sub")
+    return texts.join(per_text, "id").where("sub = _sub").select("id", "sub", "body", "found")
+
+
+def repeated_ranks(texts: DataFrame) -> DataFrame:
+    """ROW: the windows from lo to lo + more whose 80 bytes from lo + off occur again; by anchors, then two rounds of doubling."""
+    # known ranks are dealt by their place, the others by their value
+    dealt = F.when(F.col("known"), F.xxhash64("id", "lo")).otherwise(F.col("h"))
+
+    def first_round(batches):
+        return keep_repeated(batches, ("h2",))
+
+    found = stored(texts.mapInArrow(find_anchors, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, ROW))
+    found = by_text(texts, found).mapInArrow(refine, f"h long, h2 long, {ROW}, known boolean").repartition(dealt).sortWithinPartitions("h").mapInArrow(first_round, f"h2 long, {ROW}")
+    return stored(found.mapInArrow(again, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, ROW))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -373,22 +399,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     texts = base.repartition("id").withColumn("digest", F.sha2("body", 256)).withColumn("sub", sub("lost"))
     mine = first.select(F.col("first").alias("id"), sub("first_lost").alias("_sub"))
     texts = texts.join(mine, "id").where("sub = _sub").select("id", "sub", "body")
-
-    # known anchors are dealt by their place, the others by their name
-    dealt = F.when(F.col("known"), F.xxhash64("id", "lo")).otherwise(F.col("h"))
-    found = texts.mapInArrow(find_anchors, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, "id long, sub long, lo int, more int, off int")
-
-    def by_text(found):
-        per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "more", "off")).alias("found")).withColumnRenamed("sub", "_sub")
-        return texts.join(per_text, "id").where("sub = _sub").select("id", "sub", "body", "found")
-
-    def first_round(batches):
-        return keep_repeated(batches, ("h2",))
-
-    row = "id long, sub long, lo int, more int, off int"
-    found = by_text(found).mapInArrow(refine, f"h long, h2 long, {row}, known boolean").repartition(dealt).sortWithinPartitions("h").mapInArrow(first_round, f"h2 long, {row}")
-    found = found.mapInArrow(again, FOUND).repartition(dealt).sortWithinPartitions("h").mapInArrow(keep_repeated, row)
-    pieces = by_text(found).mapInArrow(cut_pieces, PIECE)
+    with shuffles_freed(docs.sparkSession):
+        found = repeated_ranks(texts)
+    pieces = by_text(texts, found).mapInArrow(cut_pieces, PIECE)
     # removed bytes are dealt by their text, what goes on by its rank; one exchange holds both
     dealt = pieces.repartition(F.when(F.col("piece").isNull(), F.xxhash64("id")).otherwise(F.col("h"))).sortWithinPartitions("h", "id", "sub", "start")
 
