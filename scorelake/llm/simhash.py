@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
@@ -157,8 +157,8 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def components_of(edges: DataFrame) -> DataFrame:
     """node, component: the least node that each node of the edges (a, b) reaches; large and small stars in turn
-    (Kiveris and others, 2014). Its rounds grow as the logarithm of the longest path."""
-    edges, seen = cut(edges.select("a", "b")), None
+    (Kiveris and others, 2014). Its rounds grow as the logarithm of the longest path. The edges are read twice."""
+    edges, seen = edges.select("a", "b"), None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -166,8 +166,9 @@ def components_of(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        seal = Observation()  # taken as the round is written, without a pass of its own
+        edges = cut(small.observe(seal, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+        now = tuple(seal.get.values())
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = now
@@ -177,7 +178,7 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     fps = cut(fingerprints(docs))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = components_of(links(nodes.where("rep is not null")))
+    groups = components_of(cut(links(nodes.where("rep is not null"))))
     # one doc_id may stand on several fingerprints (repeated rows with different texts): it is one node and links them
     named = nodes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -146,13 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "toxic", "bucket", "weight"])
 
     import numpy as np
+    import pyarrow as pa
 
-    t = rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(bagged, "doc_id long, toxic int, bucket array<int>, weight array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    t = rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(bagged, "doc_id long, toxic int, bucket array<int>, weight array<float>").toArrow()
     if not t.num_rows:
         return Model()
-    bucket, weight = t.column("bucket").combine_chunks(), t.column("weight").combine_chunks()
-    ends = np.concatenate([[0], np.cumsum(bucket.value_lengths().to_numpy(zero_copy_only=False))])
-    return train(ends, bucket.flatten().to_numpy(), weight.flatten().to_numpy(), t.column("toxic").to_pylist())
+    order = np.argsort(t.column("doc_id").to_numpy())
+    toxic = [t.column("toxic")[int(i)].as_py() for i in order]
+    size = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in t.column("bucket").chunks])
+    at, ends = np.cumsum(size) - size, np.concatenate([[0], np.cumsum(size[order])])
+    cells = np.repeat(at[order] - ends[:-1], size[order]) + np.arange(ends[-1])
+    cells = [np.concatenate([c.flatten().to_numpy() for c in t.column(name).chunks])[cells] for name in ("bucket", "weight")]
+    del t
+    pa.default_memory_pool().release_unused()
+    return train(ends, *cells, toxic)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,5 @@
 import corpus_pipeline as p
-from scorelake.llm import decontamination, secrets, simhash, toxicity
+from scorelake.llm import decontamination, near_copies, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_stages_chain_and_their_decisions_take_effect(spark, tmp_path):
     model = toxicity.fit(docs, labels)
     assert ids(after) == {r.doc_id for r in toxicity.scored(before, model).collect() if r.score < toxicity.THRESHOLD}
     before, after = steps["near_duplicates"]
-    assert ids(after) == {r.component_id for r in simhash.components(before).collect()}
+    assert ids(after) == {r.component_id for r in near_copies.components(before).collect()}
     before, after = steps["decontamination"]
     assert ids(before) - ids(after) == {r.doc_id for r in decontamination.contaminated(before, items).collect()}
     before, after = steps["secrets"]
