@@ -45,6 +45,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession):
     """Queries that are planned and run inside give their shuffle files back as they end, not when the driver's garbage goes."""
