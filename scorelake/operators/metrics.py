@@ -139,13 +139,18 @@ def far_at(trials: DataFrame, thresholds: DataFrame, by: Sequence[str], level: s
     return rows.groupBy(*by, level).agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("far"), F.count("*").alias("n_spoof"))
 
 
+#: Fixed values of Acklam's rational approximation of the normal quantile: middle and tails, numerator and denominator.
+ACKLAM = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416),
+)
+
+
 def probit(p: Column) -> Column:
     """The normal quantile, by Acklam's rational approximation (relative error under 1.15e-9)."""
-    #: Fixed values of the published approximation.
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+    a, b, c, d = ACKLAM
 
     def poly(xs, x):
         out = F.lit(xs[0])

@@ -162,10 +162,7 @@ def poly_sql(xs, x):
 
 
 def probit_sql(p: str) -> str:
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+    a, b, c, d = m.ACKLAM
     r = f"(({p}) - 0.5) * (({p}) - 0.5)"
     tail = lambda q: f"({poly_sql(c, q)}) / (({poly_sql(d, q)}) * ({q}) + 1)"
     return f"CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 0.97575 THEN -({tail(f'sqrt(-2 * ln(1 - {p}))')}) ELSE ({poly_sql(a, r)}) * ({p} - 0.5) / (({poly_sql(b, r)}) * ({r}) + 1) END"
