@@ -33,6 +33,16 @@ FREE = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4),
 PAIRWISE = 128
 
 
+def majority(h):
+    """64 bits, signed, each set if set in over half of some hashes."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 8192):
+        total += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0]
+
+
 def fingerprint(text: str | None) -> int:
     """Majority bits of the XXH64 hashes (seed 42) of a text's 3-word shingles."""
     import numpy as np
@@ -44,11 +54,7 @@ def fingerprint(text: str | None) -> int:
     if len(words) <= SHINGLE:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    h = np.fromiter((digest(join(s), 42) for s in zip(words, words[1:], words[2:])), np.uint64, len(words) - 2)
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 8192):
-        total += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return int(majority(np.fromiter((digest(join(s), 42) for s in zip(words, words[1:], words[2:])), np.uint64, len(words) - 2)).view(np.uint64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def bagged(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(s, 200) for whole in batches for s in range(0, whole.num_rows, 200)):
             ends, bucket, weight = bags(b.column(2).to_pylist())
             lists = [pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(x)) for x in (bucket.astype("int32"), weight.astype("float32"))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "toxic", "bucket", "weight"])
