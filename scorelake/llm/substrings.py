@@ -15,7 +15,7 @@ So positions are discarded before they are ever sorted, and the rounds run on th
    pairs of all positions i on the anchors' grids that lie in such windows; positions whose pair is unique are discarded,
    the others go on with their new rank. A frequent anchor so falls apart by what surrounds it.
 4. Past 80 bytes the threshold is an overlap away: windows that share a rank of 80 bytes are sorted by it and by place, and
-   their LENGTH bytes compared; the first of equal ones stays.
+   compared: two names of these 80 bytes, 128 bits together, and the 20 others byte by byte. The first of equal ones stays.
 
 Before each shuffle a batch settles its own repeats: ranks that are frequent in it need no counting, are dealt by their place
 and leave one marker, and of equal windows it sends on only what it saw first. So a string in a third of all texts sends a
@@ -37,6 +37,8 @@ from .common import shuffles_freed, stored, table
 LENGTH, SEED = 100, 20
 #: The length of the last rank, after two doublings.
 LAST_RANK = 4 * SEED
+#: A piece holds 128 bits for its 80 bytes and the bytes beside them, so a window is this long in it.
+WINDOW = LENGTH - LAST_RANK + 16
 #: Ranks that a batch holds so often are known to be repeated and need no counting.
 OFTEN = 8
 #: Documents above this size are cut into tiles that overlap by a window.
@@ -147,7 +149,7 @@ def repeats(ids, subs, starts, pieces, length: int = LENGTH, twice: bool = False
 
 #: Bytes in another order, for a second, independent name.
 PERMUTED = np.argsort([(i * 167 + 89) * (i * 3 + 1) % 1021 for i in range(256)], kind="stable").astype(np.uint8)
-#: Anchors: their windows start at lo to lo + more, the anchor is at lo + off; known: repeated in its batch; off < 0: a marker.
+#: Pieces, whose windows begin at start and after, or, without piece, removed bytes from start to till.
 FOUND = "h long, id long, sub long, lo int, more int, off int, known boolean"
 #: Pieces of a text from start, or, without piece, removed bytes from start to till.
 PIECE = "h long, id long, sub long, start int, piece binary, till int"
@@ -285,7 +287,7 @@ def settle(batches, final: bool):
     def work(t):
         h, ids, subs, start = (t.column(c).to_numpy() for c in ("h", "id", "sub", "start"))
         pieces = t.column("piece").to_pylist()
-        order, of, pos, dup, name, other = repeats(ids, subs, start, pieces, twice=final)
+        order, of, pos, dup, name, other = repeats(ids, subs, start, pieces, WINDOW, twice=final)
         h, ids, subs, start = h[order], ids[order], subs[order], start[order]
         if final:
             remembered(h[of], dup, name, other)
@@ -298,7 +300,7 @@ def settle(batches, final: bool):
             w = np.nonzero(~dup)[0]
             cut = (w[1:] != w[:-1] + 1) | (of[w][1:] != of[w][:-1])
             a, z = w[np.concatenate([[True], cut])[: len(w)]], w[np.concatenate([cut, [True]])[: len(w)]]
-            k, s, e = of[a], pos[a] - start[of[a]], pos[z] - start[of[a]] + LENGTH
+            k, s, e = of[a], pos[a] - start[of[a]], pos[z] - start[of[a]] + WINDOW
             kept = [pieces[i][x:y] for i, x, y in zip(order[k].tolist(), s.tolist(), e.tolist())]
             more = [h[k], ids[k], subs[k], pos[a], kept, np.zeros(len(a), np.int64)]
             rows = [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(rows, more)]
@@ -326,12 +328,13 @@ def cut_pieces(batches):
                 lo, more, off = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
                 if not len(lo):
                     continue
-                end, parts, bodies = np.cumsum(n), [], b.column(2).to_pylist()
-                for body, z, k in zip(bodies, end.tolist(), n.tolist()):
-                    mine = slice(z - k, z)
-                    parts += [body[x : x + m + LENGTH] for x, m in zip(lo[mine].tolist(), more[mine].tolist())]
+                bodies = b.column(2).to_pylist()
                 sizes = np.array([len(x) for x in bodies])
-                _, h = ranks(np.frombuffer(b"".join(bodies), np.uint8), np.repeat(np.cumsum(sizes) - sizes, n) + lo + off)
+                whole_body = b"".join(bodies)
+                buf, first = np.frombuffer(whole_body, np.uint8), np.repeat(np.cumsum(sizes) - sizes, n) + lo
+                _, h = ranks(buf, first + off)
+                digest = np.stack([h, ranks(PERMUTED[buf], first + off)[1]], 1).tobytes()
+                parts = [whole_body[x : x + o] + digest[16 * i : 16 * i + 16] + whole_body[x + o + LAST_RANK : x + m + LENGTH] for i, (x, o, m) in enumerate(zip(first.tolist(), off.tolist(), more.tolist()))]
                 ids, subs = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(subs), pa.array(lo.astype(np.int32)), pa.array(parts, pa.binary())], ["h", "id", "sub", "start", "piece"])
 

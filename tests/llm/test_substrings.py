@@ -92,7 +92,7 @@ def test_one_string_in_many_surroundings(monkeypatch):
     import pyarrow as pa
 
     r = random.Random(4)
-    core, n = bytes(r.randrange(256) for _ in range(80)), 100_000
+    core, n = bytes(r.randrange(256) for _ in range(s.WINDOW - 20)), 100_000
     side = lambda: bytes(r.randrange(3) for _ in range(10))
     pieces = [side() + core + side() for _ in range(n)]
     pieces[90_000:90_500] = pieces[100:600]  # seen many batches before
