@@ -370,7 +370,7 @@ ROW = "id long, sub long, lo int, more int, off int"
 def by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
     """id, sub, body and the list of what was found in it."""
     per_text = found.groupBy("id", "sub").agg(F.collect_list(F.struct("lo", "more", "off")).alias("found")).withColumnRenamed("sub", "_sub")
-    return texts.join(per_text, "id").where("sub = _sub").select("id", "sub", "body", "found")
+    return texts.join(per_text, "id").where("(sub ^ _sub) = 0").select("id", "sub", "body", "found")
 
 
 def repeated_ranks(texts: DataFrame) -> DataFrame:
@@ -395,13 +395,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keys = base.select("id", "lost", digest, F.octet_length("body").cast("long").alias("n_bytes"))
     first = keys.groupBy("digest").agg(F.min(F.struct("id", "lost")).alias("f")).select("digest", F.col("f.id").alias("first"), F.col("f.lost").alias("first_lost"))
     # one exchange of the texts, by id, serves the three passes over them
+    # joins are by id alone, as the texts are dealt: sub is compared so that it is no key of theirs
     # sub tells the texts of one doc_id apart, and in its last bit those without one; without repeated ids the rest is 0 and
     # costs the shuffles nothing
     rows, ids = keys.agg(F.count("*"), F.countDistinct("id")).first()
     sub = lambda lost: F.xxhash64("digest").bitwiseAND(F.lit(-2)).bitwiseOR(F.col(lost)) if rows != ids else F.col(lost)
     texts = base.repartition("id").withColumn("digest", F.sha2("body", 256)).withColumn("sub", sub("lost"))
     mine = first.select(F.col("first").alias("id"), sub("first_lost").alias("_sub"))
-    texts = texts.join(mine, "id").where("sub = _sub").select("id", "sub", "body")
+    texts = texts.join(mine, "id").where("(sub ^ _sub) = 0").select("id", "sub", "body")
     with shuffles_freed(docs.sparkSession):
         found = repeated_ranks(texts)
     pieces = by_text(texts, found).mapInArrow(cut_pieces, PIECE)
@@ -426,7 +427,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield ready.pop()
 
     gone = dealt.mapInArrow(after, PIECE).groupBy("id", "sub").agg(F.collect_list(F.struct("start", "till")).alias("gone")).withColumnRenamed("sub", "_sub")
-    kept = texts.join(gone, (texts["id"] == gone["id"]) & (texts["sub"] == gone["_sub"]), "left").select(texts["id"], "sub", "body", "gone").mapInArrow(remove, "id long, lost long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kept = texts.join(gone, (texts["id"] == gone["id"]) & (texts["sub"].bitwiseXOR(gone["_sub"]) == 0), "left").select(texts["id"], "sub", "body", "gone").mapInArrow(remove, "id long, lost long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # further copies of a text: all of it goes, or nothing if it is short
     copies = keys.join(first, "digest").where("id <> first or lost <> first_lost")
     long = F.col("n_bytes") >= LENGTH
