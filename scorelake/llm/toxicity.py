@@ -30,9 +30,10 @@ from .words import grams, numbered
 #: Documented bound of the training sample, in rows.
 SAMPLE = 3000
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 17, 8
-EPOCHS, BATCH, RATE, FLOOR, DECAY = 20, 256, 4.0, 0.1, 0.0
-#: Every mean counts so many words of a zero vector, lest a few words decide a short text.
-PRIOR = 10
+EPOCHS, BATCH, RATE, FLOOR, DECAY = 20, 256, 4.0, 0.1, 0.03
+#: Vectors shrink by DECAY an epoch, lest rows with a wrong label are learned by heart. Every mean counts so many words of a
+#: zero vector, lest a few words decide a short text.
+PRIOR = 30
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
