@@ -65,7 +65,7 @@ def q_cq_cepstra(s, d):
     """Vectors as records of 8 bins by 8 frames; cepstra and their first and second deltas."""
     v = F.expr("transform(embedding, v -> least(greatest(rint((cast(v as double) * 100 - 40 + 80) / 80 * 255), 0D), 255D))")
     x = dsp.pooled(model.read(s, d, "embeddings").select("vec_id", v.alias("y")), "cepstra8", "vec_id")
-    return x.select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("v"))
+    return x.select("vec_id", F.posexplode("x").alias("i", "v")).select("vec_id", "i", (F.round("v", 6) + F.lit(0.0)).alias("v"))  # no negative zero
 
 
 def q_file_llr(s, d):
@@ -114,7 +114,7 @@ ORACLE_SQL = {
 b AS (SELECT vec_id, i // 8 AS b, i % 8 AS t, LEAST(GREATEST(round_even((CAST(v AS DOUBLE) * 100 - 40 + 80) / 80 * 255, 0), 0), 255) / 255 * 80 - 80 AS db FROM r),
 c AS (SELECT vec_id, t, k.range AS k, SUM(db * cos(pi() / 8 * (b + 0.5) * k.range)) * CASE WHEN k.range = 0 THEN sqrt(CAST(1 AS DOUBLE) / 8) ELSE sqrt(CAST(2 AS DOUBLE) / 8) END AS c FROM b CROSS JOIN range(5) k GROUP BY vec_id, t, k.range),
 w AS (SELECT x.vec_id, x.t, x.k, SUM((y.t - x.t) * y.c) / 28 AS d1, SUM(((y.t - x.t) * (y.t - x.t) - 4) * y.c) / 42 AS d2 FROM c x JOIN c y ON y.vec_id = x.vec_id AND y.k = x.k AND y.t BETWEEN x.t - 3 AND x.t + 3 WHERE x.t IN (3, 4) GROUP BY ALL)
-SELECT vec_id, CAST(t * 15 + j.range * 5 + k AS INT) AS i, ROUND(CASE j.range WHEN 0 THEN c WHEN 1 THEN d1 ELSE d2 END, 6) AS v
+SELECT vec_id, CAST(t * 15 + j.range * 5 + k AS INT) AS i, ROUND(CASE j.range WHEN 0 THEN c WHEN 1 THEN d1 ELSE d2 END, 6) + CAST(0 AS DOUBLE) AS v
 FROM (SELECT c.vec_id, c.t, c.k, c.c, w.d1, w.d2 FROM c JOIN w ON w.vec_id = c.vec_id AND w.k = c.k AND w.t = CASE WHEN c.t < 4 THEN 3 ELSE 4 END) z CROSS JOIN range(3) j""",
     "q_file_llr": f"WITH f AS (SELECT vec_id, unnest(range(64)) AS n, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), {DENSITY} SELECT vec_id % 50 AS filename, ROUND(AVG(x), 5) AS llr FROM (SELECT vec_id, SUM(CASE WHEN bona THEN ll ELSE -ll END) AS x FROM ll GROUP BY vec_id) y GROUP BY 1",
 }

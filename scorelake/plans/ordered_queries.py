@@ -88,7 +88,7 @@ def q_speaker_folds(s, d):
 
 
 def q_det_points(s, d):
-    c = m.two_class(m.error_curve(evaluated(s, d), ["system"])).where("nb > tp and fp > 0")
+    c = m.two_class(m.error_curve(evaluated(s, d), ["system"])).where("nb > tp and tp > 0 and ns > fp and fp > 0")
     return c.select("system", "score", F.round(m.probit(m.fpr()), 9).alias("x"), F.round(m.probit(m.fnr()), 9).alias("y"))
 
 
@@ -121,7 +121,7 @@ Q = {
     ),
     "q_label_sample": (q_label_sample, with_(BASE, "r AS (SELECT filename, y, ROW_NUMBER() OVER (PARTITION BY y ORDER BY {{U32:concat({{STR:filename}}, ':lab')}}, filename) AS r FROM base)") + " SELECT filename, y FROM r WHERE r <= 150"),
     "q_speaker_folds": (q_speaker_folds, "WITH g AS (SELECT DISTINCT user_id FROM events) SELECT user_id, CAST(NTILE(5) OVER (ORDER BY {{U32:concat({{STR:user_id}}, ':fold')}}, user_id) AS INT) AS fold FROM g"),
-    "q_det_points": (q_det_points, with_(BASE, EV, curve_sql("ev", "system")) + f" SELECT system, score, ROUND({probit_sql(FPR)}, 9) AS x, ROUND({probit_sql(FNR)}, 9) AS y FROM curve WHERE nb > tp AND fp > 0"),
+    "q_det_points": (q_det_points, with_(BASE, EV, curve_sql("ev", "system")) + f" SELECT system, score, ROUND({probit_sql(FPR)}, 9) AS x, ROUND({probit_sql(FNR)}, 9) AS y FROM curve WHERE nb > tp AND tp > 0 AND ns > fp AND fp > 0"),
 }
 QUERIES = {k: v[0] for k, v in Q.items()}
 ORACLE_SQL = {k: duckdb(v[1]) for k, v in Q.items()}
