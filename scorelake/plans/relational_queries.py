@@ -61,7 +61,7 @@ TEXT = {
     # sets
     "q_union_enriched": "SELECT doc_id AS id, source, 'documents' AS origin FROM [documents] UNION ALL SELECT page_id AS id, CAST(NULL AS {{TXT}}) AS source, 'pages' AS origin FROM [pages]",
     "q_leakage_intersect": with_(BASE) + " SELECT COUNT(*) AS n_shared FROM (SELECT speaker FROM base WHERE part = 'eval' INTERSECT SELECT speaker FROM base WHERE part = 'hidden') x",
-    "q_missing_except": "SELECT c_custkey FROM [customer] EXCEPT SELECT o_custkey AS c_custkey FROM [orders]",
+    "q_missing_except": "SELECT c_custkey FROM [customer] EXCEPT SELECT o_custkey AS c_custkey FROM [orders] WHERE o_orderpriority = '1-URGENT'",
     "q_distinct_splits": with_(BASE) + " SELECT DISTINCT part, y FROM base",
     "q_first_seen_codes": with_("f AS (SELECT event_type, MIN(event_id) AS pos FROM [events] GROUP BY event_type)") + " SELECT event_type, CAST(ROW_NUMBER() OVER (ORDER BY pos) - 1 AS BIGINT) AS code FROM f",
     # Windows and sorts
