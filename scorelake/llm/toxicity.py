@@ -173,8 +173,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
         m = pickle.loads(shared.value)
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(part.column(1).to_pylist()).astype(np.float64))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -190,8 +190,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
         m = pickle.loads(shared.value)
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
                 yield part.filter(pa.array(m.score(part.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, schema)
