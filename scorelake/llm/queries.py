@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, pieces, secrets, sharding, simhash, substrings, toxicity, winnowing
+from . import decontamination, infill, language, licenses, pieces, secrets, sharding, simhash, substrings, toxicity, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_simhash_windows": decontamination.op9_simhash_windows,
     "op10_subword_bags": toxicity.op10_subword_bags,
+    "op13_distinct_text_index": infill.op13_distinct_text_index,
 }
-ORACLE_SQL = {"op6_hash_tree": sharding.OP6_SQL}
+ORACLE_SQL = {"op6_hash_tree": sharding.OP6_SQL, "op13_distinct_text_index": infill.OP13_SQL}
