@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, infill, language, licenses, pieces, secrets, sharding, simhash, substrings, toxicity, tries, winnowing
+from . import decontamination, infill, language, licenses, personal, pieces, secrets, sharding, simhash, substrings, toxicity, tries, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_windows": decontamination.op9_simhash_windows,
     "op10_subword_bags": toxicity.op10_subword_bags,
     "op11_prefix_trie": tries.op11_prefix_trie,
+    "op12_contextual_extraction": personal.op12_contextual_extraction,
     "op13_distinct_text_index": infill.op13_distinct_text_index,
 }
 ORACLE_SQL = {"op6_hash_tree": sharding.OP6_SQL, "op11_prefix_trie": tries.OP11_SQL, "op13_distinct_text_index": infill.OP13_SQL}
