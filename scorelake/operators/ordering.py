@@ -13,6 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
+#: What may be broadcast, by count and the width of a row.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
+
+
+def measured(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """The table, marked to be broadcast if its rows, counted, are few enough; the count runs it, so it should be cached or stored."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:

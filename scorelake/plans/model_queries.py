@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classical, dsp, fusion, metrics, mixtures, model
+from ..operators import classical, dsp, mixtures, model
 from ..sources import files
 
 
@@ -13,25 +13,6 @@ def vectors(s, d):
     return e.select(F.col("vec_id").alias("filename"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 5).cast("int").alias("y"), (F.col("vec_id") % 4 == 0).alias("held_out"))
 
 
-CANDIDATES = {"+".join(c): list(c) for c in ("A", "B", "C", "AB", "AC", "BC", "ABC")}
-
-
-def q_logistic_fusion_cv(s, d):
-    return fusion.cross_validate(model.wide_trials(s, d).where("part = 'progress'"), CANDIDATES)
-
-
-def q_one_se_fusion(s, d):
-    return fusion.one_se_choice(q_logistic_fusion_cv(s, d))
-
-
-def q_transfer_check(s, d):
-    w = model.wide_trials(s, d)
-    fit, apply = w.where("part = 'progress'"), w.where("part = 'eval'")
-    stats = fusion.statistics(fit, ["A", "B"])
-    coef, b = fusion.weights(fusion.znormed(fit, stats), ["A", "B"])
-    return metrics.eer(fusion.fused(fusion.znormed(apply, stats), ["A", "B"], coef, b).withColumn("g", F.lit("fused")), ["g"])
-
-
 def q_gmm_fit(s, d):
     v = vectors(s, d)
     bona, _ = mixtures.fit(v.where("y = 1 and not held_out"), 4, 8)
@@ -91,9 +72,6 @@ def signals(s, d):
 
 
 QUERIES = {
-    "q_logistic_fusion_cv": q_logistic_fusion_cv,
-    "q_one_se_fusion": q_one_se_fusion,
-    "q_transfer_check": q_transfer_check,
     "q_gmm_fit": q_gmm_fit,
     "q_cq_cepstra": q_cq_cepstra,
     "q_file_llr": q_file_llr,

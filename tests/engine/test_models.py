@@ -80,23 +80,6 @@ def test_classical_models(spark, rows, tmp_path):
     assert classical.refit_best(two, train, test).count() == test.count()
 
 
-def test_fusion(spark):
-    r = np.random.default_rng(2)
-    y = r.integers(0, 2, 400)
-    wide = spark.createDataFrame([(i % 23, int(v), float(a), float(b), float(c)) for i, (v, a, b, c) in enumerate(zip(y, y + r.normal(0, 1, 400), y * 2 + r.normal(0, 2, 400), r.normal(0, 1, 400)))], "speaker long, y int, A double, B double, C double")
-    st = fusion.statistics(wide, ["A", "B"])
-    assert st["A"] == pytest.approx((np.mean([x.A for x in wide.collect()]), np.std([x.A for x in wide.collect()])))
-    w, _ = fusion.weights(fusion.znormed(wide, st), ["A", "B"])
-    assert min(w) > 0.3
-    folds = fusion.speaker_folds(wide, 5, 1).groupBy("fold").count().orderBy("fold").collect()
-    assert [x["count"] for x in folds] == [5, 5, 5, 4, 4]
-    cv = fusion.cross_validate(wide, {"A": ["A"], "C": ["C"], "A+B": ["A", "B"]}, 3)
-    got = {(x.candidate, x.weights): x for x in cv.collect()}
-    assert set(got) == {("A", "equal"), ("C", "equal"), ("A+B", "trained"), ("A+B", "equal")}
-    assert got["A+B", "trained"].cv_eer < got["C", "equal"].cv_eer and all(x.folds == 3 for x in got.values())
-    assert fusion.one_se_choice(spark.createDataFrame([("a", 6, "w", 26.37, 0.64), ("b", 5, "w", 26.64, 0.6), ("c", 3, "w", 26.84, 0.6), ("d", 1, "w", 29.38, 0.6)], "candidate string, n_systems int, weights string, cv_eer double, cv_eer_se double")).first().candidate == "c"
-
-
 def test_stored_mixtures(spark, tmp_path):
     m = mixtures.DiagonalMixture(np.array([0.3, 0.7]), np.array([[0.0, 1], [2, 3]]), np.array([[1.0, 2], [3, 4]]))
     mixtures.save(spark, m, str(tmp_path / "m"), kind="bona", dims="2")
