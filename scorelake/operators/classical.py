@@ -1,4 +1,5 @@
-"""Classical models (L09-L14, L25): random Fourier features with a linear SVM, random forests, class weights, block importances."""
+"""Classical models (L09-L14, L25): RBF support vector machines and their sweep, an approximation by random Fourier features, random
+forests, class weights, block importances."""
 
 from __future__ import annotations
 
@@ -8,6 +9,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+from . import kernel_svm, metrics
+
 
 def class_weights(rows: DataFrame) -> DataFrame:
     """Adds weight, N / (2 N_class)."""
@@ -44,47 +48,61 @@ def standardised(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
     return [df.withColumn("x", z) for df in (train, *others)]
 
 
-def rbf_svm_scores(train: DataFrame, test: DataFrame, c: float = 1.0, gamma: float = 0.01) -> DataFrame:
-    """An approximate RBF SVM on standardised rows; score is the decision value. Rows carry x and y."""
+def fourier_svm_scores(train: DataFrame, test: DataFrame, c: float = 1.0, gamma: float = 0.01) -> DataFrame:
+    """An approximate RBF SVM on standardised rows, in a scan a step; score is the decision value. Rows carry x and y. Only the
+    weights of the fitted model go on."""
     train, test = standardised(train, test)
     fit = class_weights(fourier_features(train, gamma)).withColumn("label", F.col("y").cast("double"))
     model = LinearSVC(regParam=1.0 / (c * max(train.count(), 1)), weightCol="weight", maxIter=20).fit(fit)
-    return model.transform(fourier_features(test, gamma)).withColumn("score", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "prediction")
+    coef, intercept = model.coefficients.toArray(), float(model.intercept)
+    z = vector_to_array("features")
+    score = F.aggregate(F.zip_with(z, F.array(*[F.lit(float(v)) for v in coef]), lambda a, b: a * b), F.lit(intercept), lambda a, b: a + b)
+    return fourier_features(test, gamma).withColumn("score", score).drop("features")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    path = files.scratch(df.sparkSession, "svm")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def rbf_svm_scores(train: DataFrame, test: DataFrame, c: float = 1.0, gamma: float = 0.01) -> DataFrame:
+    """Test with score, the decision value of the RBF SVM fitted on train. Rows carry filename, x and y."""
+    grid = kernel_svm.fit(train, [(None, c, gamma)], stored)
+    return test.join(kernel_svm.scores(grid, test).select("filename", "score"), "filename")
 
 
 #: The whole sweep: training sizes (None: all rows), C and gamma.
 SIZES, CS, GAMMAS = (1000, 2000, 5000, 10000, 20000, 50000, None), (0.1, 1.0, 10.0, 100.0), (0.0001, 0.001, 0.01, 0.1)
+#: Points of a sweep that are trained together and written at once.
+BATCH = 56
 
 
-def svm_sweep(train: DataFrame, dev: DataFrame, path: str, sizes=SIZES, cs=CS, gammas=GAMMAS) -> DataFrame:
-    """n_train, c, gamma, eer of every point of a grid; each is written as it is done, and a run that was cut short takes up
-    where it stopped. Sizes are stratified samples by hash. The loop is over fits, each of them distributed."""
-    from ..operators import metrics, ordering
-
-    spark = train.sparkSession
+def svm_sweep(train: DataFrame, dev: DataFrame, path: str, sizes=SIZES, cs=CS, gammas=GAMMAS, batch: int = BATCH) -> DataFrame:
+    """n_train, c, gamma, n_vectors, eer of every point of a grid. Points are trained together; a batch is written as it is done, and a
+    run that was cut short takes up where it stopped. Sizes are stratified samples by hash, each within the next."""
+    spark, total = train.sparkSession, train.count()
     try:
         done = {(r.n_train, r.c, r.gamma) for r in spark.read.parquet(path).collect()}  # a row a point
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = set()
-    rows = ordering.numbered(train.withColumn("_u", F.xxhash64("filename")), ["y"], "_u", ["filename"]).persist()
-    total = rows.count()
-    for n in sizes:
-        some = rows.where(F.col("position") <= F.ceil(F.col("position_total") * F.lit(min(1.0, (n or total) / max(total, 1)))))
-        for c in cs:
-            for g in gammas:
-                if (n or total, c, g) not in done:
-                    scored = rbf_svm_scores(some.select("filename", "x", "y"), dev, c, g).withColumn("g", F.lit(1))
-                    point = metrics.eer(scored, ["g"]).select(F.lit(n or total).cast("long").alias("n_train"), F.lit(c).alias("c"), F.lit(g).alias("gamma"), "eer")
-                    point.write.mode("append").parquet(path)
-    rows.unpersist()
+    points = [(n, c, g) for n in sorted({min(n or total, total) for n in sizes}) for c in cs for g in gammas if (n, float(c), float(g)) not in done]
+    for i in range(0, len(points), batch):
+        some = points[i : i + batch]
+        grid = kernel_svm.fit(train, some, stored)
+        scored = kernel_svm.scores(grid, dev).join(dev.select("filename", "y"), "filename")
+        n = grid.vectors.where("alpha > 0").groupBy("point").agg(F.count("*").alias("n_vectors"))
+        named = spark.createDataFrame([(k, int(s), float(c), float(g)) for k, (s, c, g) in enumerate(some)], "point int, n_train long, c double, gamma double")
+        out = metrics.eer(scored, ["point"]).join(n, "point").join(F.broadcast(named), "point")  # a row a point
+        out.select("n_train", "c", "gamma", "n_vectors", "eer").write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
 def refit_best(sweep: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
     """The scores of the sweep's best point, fitted on all rows."""
-    best = sweep.orderBy("eer", "c", "gamma").first()
+    best = sweep.orderBy("eer", "c", "gamma", F.desc("n_train")).first()
     return rbf_svm_scores(train, test, best.c, best.gamma)
 
 
