@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import sliced
+from ..storage import stored
+from .ordering import largest, sliced
 
 #: Replicates taken together, cells of a block in a task, and bytes of weights sent to each executor.
 CHUNK, CELLS, BROADCAST_BYTES = 250, 1 << 21, 128 << 20
@@ -84,7 +85,9 @@ def replicate_metrics(trials: DataFrame, by: Sequence[str], n_reps: int, unit: s
     else:
         keep = keep.withColumn("unit", F.col("filename"))
     hist = keep.groupBy(*by, "score", "y", F.col("unit").cast("long").alias("unit")).agg(F.count("*").alias("n"))
-    rows = sliced(hist, by, "score").select(*by, "_slice", "score", F.col("y").cast("int").alias("y"), "unit", "n")
+    hist = stored(hist, "trials")  # read once a chunk of replicates, from here
+    slices = min(1024, max(8, largest(hist, by) // 4096))
+    rows = stored(sliced(hist, by, "score", slices), "slices").select(*by, "_slice", "score", F.col("y").cast("int").alias("y"), "unit", "n")
     chunk = max(1, min(CHUNK, BROADCAST_BYTES // max(2 * sum(sizes), 1)))
     out = None
     for first in range(0, n_reps, chunk):

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..storage import stored
 from . import kernel_svm, metrics
 
 
@@ -60,12 +60,6 @@ def fourier_svm_scores(train: DataFrame, test: DataFrame, c: float = 1.0, gamma:
     return fourier_features(test, gamma).withColumn("score", score).drop("features")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    path = files.scratch(df.sparkSession, "svm")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def rbf_svm_scores(train: DataFrame, test: DataFrame, c: float = 1.0, gamma: float = 0.01) -> DataFrame:
     """Test with score, the decision value of the RBF SVM fitted on train. Rows carry filename, x and y."""
     grid = kernel_svm.fit(train, [(None, c, gamma)], stored)

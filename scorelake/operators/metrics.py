@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import running_sums
+from ..storage import stored
+from .ordering import measured, running_sums
 
 #: Priors and costs of the tandem cost.
 COST = {"p_spoof": 0.05, "p_tar": 0.9405, "p_non": 0.0095, "c_miss": 1.0, "c_fa": 10.0, "c_fa_spoof": 10.0}
@@ -33,7 +34,8 @@ def curve_of(hist: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def error_curve(trials: DataFrame, by: Sequence[str]) -> DataFrame:
-    return curve_of(histogram(trials, by), by)
+    """The histogram, which is what is small, is made once and stored; everything else reads it."""
+    return curve_of(stored(histogram(trials, by), "histogram"), by)
 
 
 def exact(c: Column | str) -> Column:
@@ -53,28 +55,38 @@ def two_class(curve: DataFrame) -> DataFrame:
     return curve.where("nb > 0 and ns > 0")
 
 
-def best(curve: DataFrame, by: Sequence[str], cost: Column, values: dict[str, Column]) -> DataFrame:
-    """One row per group: values at the least cost, the higher score on ties."""
+def at_least(cost: Column, values: dict[str, Column]) -> Column:
+    """Aggregate: score, tp, fp, nb, ns and values at the least cost, the higher score on ties."""
     packed = F.struct(F.col("score"), "tp", "fp", "nb", "ns", *[v.alias(k) for k, v in values.items()])
-    rows = curve.groupBy(*by).agg(F.min_by(packed, F.struct(cost.alias("c"), (-F.col("score")).alias("s"))).alias("x"))
-    return rows.select(*by, F.col("x.score").alias("threshold"), "x.tp", "x.fp", "x.nb", "x.ns", *[F.col(f"x.{k}").alias(k) for k in values])
+    return F.min_by(packed, F.struct(cost.alias("c"), (-F.col("score")).alias("s")))
 
 
-def eer_of(curve: DataFrame, by: Sequence[str]) -> DataFrame:
-    """By, threshold, tp, fp, nb, ns, eer: the mean of FNR and FPR where they are closest, compared as integers."""
+def equal_errors() -> Column:
+    """Aggregate: where FNR and FPR are closest, compared as integers."""
     gap = F.abs(exact(F.col("nb") - F.col("tp")) * exact("ns") - exact("fp") * exact("nb"))
-    return best(two_class(curve), by, gap, {"eer": (fnr() + fpr()) / 2})
+    return at_least(gap, {"eer": (fnr() + fpr()) / 2})
+
+
+def eer_of(curve: DataFrame, by: Sequence[str]) -> DataFrame:
+    """By, threshold, tp, fp, nb, ns, eer: the mean of FNR and FPR where they are closest."""
+    rows = two_class(curve).groupBy(*by).agg(equal_errors().alias("x"))
+    return rows.select(*by, F.col("x.score").alias("threshold"), "x.tp", "x.fp", "x.nb", "x.ns", "x.eer")
 
 
 def eer(trials: DataFrame, by: Sequence[str]) -> DataFrame:
     return eer_of(error_curve(trials, by), by)
 
 
-def auc_of(curve: DataFrame, by: Sequence[str]) -> DataFrame:
-    """By, roc_auc with half credit for ties, from integer sums."""
+def area() -> Column:
+    """Aggregate: the area under the curve with half credit for ties, from integer sums."""
     twice = F.sum(exact("b") * exact(2 * (F.col("ns") - F.col("fp")) + F.col("s")))
     pairs = exact(F.first("nb")) * exact(F.first("ns"))
-    return two_class(curve).groupBy(*by).agg((twice.cast("double") / (2 * pairs.cast("double"))).alias("roc_auc"))
+    return twice.cast("double") / (2 * pairs.cast("double"))
+
+
+def auc_of(curve: DataFrame, by: Sequence[str]) -> DataFrame:
+    """By, roc_auc."""
+    return two_class(curve).groupBy(*by).agg(area().alias("roc_auc"))
 
 
 def at_threshold(points: DataFrame) -> DataFrame:
@@ -110,18 +122,30 @@ def tdcf_coefficients(rates: DataFrame) -> DataFrame:
     return out.withColumn("asv_floor", F.col("c0") / (F.col("c0") + F.least("c1", "c2")))
 
 
+def tandem_cost() -> Column:
+    return (F.col("c0") + F.col("c1") * fnr() + F.col("c2") * fpr()) / (F.col("c0") + F.least("c1", "c2"))
+
+
+def with_costs(curve: DataFrame, coefficients: DataFrame) -> DataFrame:
+    return curve.crossJoin(F.broadcast(coefficients.select("c0", "c1", "c2")))  # one row
+
+
 def min_tdcf_of(curve: DataFrame, by: Sequence[str], coefficients: DataFrame) -> DataFrame:
     """By, min_tdcf, tdcf_threshold; coefficients has one row."""
-    rows = two_class(curve).crossJoin(F.broadcast(coefficients.select("c0", "c1", "c2")))
-    cost = (F.col("c0") + F.col("c1") * fnr() + F.col("c2") * fpr()) / (F.col("c0") + F.least("c1", "c2"))
-    return best(rows, by, cost, {"min_tdcf": cost}).select(*by, "min_tdcf", F.col("threshold").alias("tdcf_threshold"))
+    rows = with_costs(two_class(curve), coefficients).groupBy(*by).agg(at_least(tandem_cost(), {"min_tdcf": tandem_cost()}).alias("x"))
+    return rows.select(*by, "x.min_tdcf", F.col("x.score").alias("tdcf_threshold"))
 
 
 def system_table(trials: DataFrame, by: Sequence[str], coefficients: DataFrame | None = None) -> DataFrame:
-    """Everything about each group."""
-    curve = error_curve(trials, by)
-    out = at_threshold(eer_of(curve, by)).join(auc_of(curve, by), list(by))
-    return out if coefficients is None else out.join(min_tdcf_of(curve, by, coefficients), list(by))
+    """Everything about each group, in one aggregation of one curve."""
+    curve, aggs = two_class(error_curve(trials, by)), [equal_errors().alias("x"), area().alias("roc_auc")]
+    if coefficients is not None:
+        curve = with_costs(curve, coefficients)
+        aggs.append(at_least(tandem_cost(), {"min_tdcf": tandem_cost()}).alias("t"))
+    rows = curve.groupBy(*by).agg(*aggs)
+    cost = [] if coefficients is None else [F.col("t.min_tdcf").alias("min_tdcf"), F.col("t.score").alias("tdcf_threshold")]
+    points = rows.select(*by, F.col("x.score").alias("threshold"), "x.tp", "x.fp", "x.nb", "x.ns", "x.eer", "roc_auc", *cost)
+    return at_threshold(points)
 
 
 def pooled_bonafide_eer(trials: DataFrame, by: Sequence[str], level: str) -> DataFrame:
@@ -130,12 +154,12 @@ def pooled_bonafide_eer(trials: DataFrame, by: Sequence[str], level: str) -> Dat
     bona = trials.where("y = 1").groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.count("*").alias("b"), F.lit(0).cast("long").alias("s"))
     levels = spoof.select(*by, level).distinct()
     hist = bona.join(levels, list(by)).select(*by, level, "score", "b", "s").unionByName(spoof).groupBy(*by, level, "score").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
-    return eer_of(curve_of(hist, [*by, level]), [*by, level])
+    return eer_of(curve_of(stored(hist, "histogram"), [*by, level]), [*by, level])
 
 
 def far_at(trials: DataFrame, thresholds: DataFrame, by: Sequence[str], level: str) -> DataFrame:
     """The share of each level's spoof trials accepted at its group's threshold."""
-    rows = trials.where("y = 0").join(F.broadcast(thresholds.select(*by, "threshold")), list(by))  # a row per group
+    rows = trials.where("y = 0").join(measured(stored(thresholds.select(*by, "threshold"), "thresholds")), list(by))
     return rows.groupBy(*by, level).agg(F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("far"), F.count("*").alias("n_spoof"))
 
 

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import numbered, running_sums
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; on one machine a temporary one will do."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="scratch-")
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
+from ..storage import scratch as scratch  # noqa: PLC0414  part of this module's interface
 
 
 def table(spark: SparkSession, path: str, columns: str, rename: dict[str, str] | None = None) -> DataFrame:
