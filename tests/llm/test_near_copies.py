@@ -57,3 +57,38 @@ def test_stage_drops_near_copies_that_few_bits_do_not_link(spark, make_docs):
     docs = make_docs(rows)
     kept = {x.doc_id for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
     assert kept == want and len(kept) < simhash.keep_one(docs).count()
+
+
+def test_long_lists_go_by_pairs_of_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(nc, "CELL", 3)
+    monkeypatch.setattr(nc, "TURNS", 0)
+    monkeypatch.setattr(nc, "BROADCAST_BYTES", 0)
+    rows = planted()
+    got = {x.doc_id: x.component_id for x in nc.components(make_docs(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    """Of pairs of random texts with a similarity between 0.8 and 0.9 none is lost to either sketch."""
+    import numpy as np
+
+    r = random.Random(3)
+    words = [b"w%d" % i for i in range(3000)]
+    far = 0
+    pairs = []
+    while len(pairs) < 800:
+        a = [r.choice(words) for _ in range(r.choice([12, 30, 80, 300, 1200]))]
+        b = list(a)
+        while True:
+            b[r.randrange(len(b))] = r.choice(words)
+            x, y = nc.shingles(a, 5), nc.shingles(b, 5)
+            common = len(np.intersect1d(x, y))
+            j = common / (len(x) + len(y) - common)
+            if j < 0.8:
+                break
+            if j < 0.9:
+                pairs.append((x, y))
+    for x, y in pairs:
+        bits = [bin((int(f(x)) ^ int(f(y))) & (2**64 - 1)).count("1") for f in (simhash.majority, nc.minima)]
+        far += bits[0] > nc.NEAR or bits[1] > nc.MINIMA
+    assert far == 0
