@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import numbered, running_sums
 from ..storage import scratch as scratch  # noqa: PLC0414  part of this module's interface
+from . import audio
 
 
 def table(spark: SparkSession, path: str, columns: str, rename: dict[str, str] | None = None) -> DataFrame:
@@ -116,32 +117,8 @@ def summary(df: DataFrame, path: str, by: str, **parts: list[str]) -> None:
 
 
 def wav(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """Path, rate, samples (mono, -1 to 1), error: PCM files of 8, 16 or 32 bits, by the standard library; what can't be
-    read has an error."""
-
-    def run(batches):
-        import io
-        import wave
-
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            rates, samples, errors = [], [], []
-            for body in b.column(1).to_pylist():
-                try:
-                    with wave.open(io.BytesIO(body)) as w:
-                        kind, middle, scale = {1: (np.uint8, 128, 128.0), 2: ("<i2", 0, 2.0**15), 4: ("<i4", 0, 2.0**31)}[w.getsampwidth()]
-                        x = (np.frombuffer(w.readframes(w.getnframes()), kind).astype(np.float64) - middle) / scale
-                        samples.append(x.reshape(-1, w.getnchannels()).mean(1))
-                        rates.append(w.getframerate())
-                    errors.append(None)
-                except (wave.Error, EOFError, KeyError, ValueError) as e:
-                    rates.append(None), samples.append(None), errors.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rates, pa.int32()), pa.array(samples, pa.list_(pa.float64())), pa.array(errors, pa.string())], ["path", "rate", "samples", "error"])
-
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return rows.mapInArrow(run, "path string, rate int, samples array<double>, error string")
+    """Path, rate, samples (mono, -1 to 1), error of PCM files at their own rate; audio.files reads FLAC too, and resamples."""
+    return audio.files(spark, path, pattern, None)
 
 
 def markdown(df: DataFrame, title: str, digits: int = 4) -> str:
