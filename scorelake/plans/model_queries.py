@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classical, dsp, mixtures, model
+from ..operators import classical, dsp, lcnn, mixtures, model
 from ..sources import files
 
 
@@ -59,6 +59,13 @@ def q_rf_block_importance(s, d):
     return classical.block_importance(s, classical.forest(vectors(s, d)), 4, 16)
 
 
+def q_lcnn_scores(s, d):
+    """Products of the vectors' first 32 numbers as maps of 32 by 32, scored by a stored network."""
+    maps = vectors(s, d).select("filename", "y", F.flatten(F.transform(F.slice("x", 1, 32), lambda a: F.transform(F.slice("x", 1, 32), lambda b: a * b))).alias("x"))
+    network = lcnn.as_table(s, lcnn.drawn(32, 32, "timepool", 1))
+    return lcnn.scores(maps, network, 32, 32).select("filename", F.round("score", 6).alias("score"))
+
+
 def q_cq_cepstra(s, d):
     """Vectors as records of 8 bins by 8 frames; cepstra and their first and second deltas."""
     v = F.expr("transform(embedding, v -> least(greatest(rint((cast(v as double) * 100 - 40 + 80) / 80 * 255), 0D), 255D))")
@@ -93,6 +100,7 @@ QUERIES = {
     "q_cq_cepstra": q_cq_cepstra,
     "q_file_llr": q_file_llr,
     "q_rff_svm": q_rff_svm,
+    "q_lcnn_scores": q_lcnn_scores,
     "q_rbf_svm": q_rbf_svm,
     "q_svm_grid": q_svm_grid,
     "q_svm_sweep": q_svm_sweep,
