@@ -1,4 +1,4 @@
-"""Signal operators on arrays of samples (D01-D03, D05, D06, D12-D14, D16, D17): numpy kernels run in Arrow batches.
+"""Signal operators on arrays of samples (D01-D03, D05, D06, D12-D17): numpy kernels run in Arrow batches.
 
 Choices where publications leave room: magnitudes of centred Hann frames, reflected at the edges; the mel scale that is linear up to
 1 kHz (Slaney), with bands of equal area; deltas are derivatives of a polynomial fitted to the frames around, at the edges of the
@@ -116,33 +116,75 @@ def cq_cepstra(record: np.ndarray, bins: int, keep: int = 20) -> np.ndarray:
     return stacked(db.T @ dct(bins, keep).T)
 
 
-def noisy(y, r):
-    """Noise at 10 to 30 dB, half of the time smoothed."""
-    n = r.normal(size=len(y))
+#: Fixed values of the effects' definitions: ranges of the ratio of signal to noise (dB) and of the smoothing, of the decay time to
+#: -60 dB (s), of the drive of soft and the share of the peak of hard clipping; each effect's chance is in EFFECTS.
+SNR, SMOOTHING, DECAY, DRIVE, SHARE = (10.0, 30.0), (3, 15), (0.08, 0.5), (1.5, 6.0), (0.3, 0.8)
+
+
+def noisy(y: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """Noise whose energy is below the signal's by a random ratio; half of the time its spectrum falls, by a moving average."""
+    ratio, noise = 10 ** (r.uniform(*SNR) / 10), r.normal(size=len(y))
+    if r.random() < 0.5:
+        width = int(r.integers(SMOOTHING[0], SMOOTHING[1] + 1))
+        sums = np.cumsum(np.concatenate([np.zeros(width), noise]))
+        noise = sums[width:] - sums[:-width]
+    own = np.dot(noise, noise)
+    return y + noise * np.sqrt(np.dot(y, y) / (ratio * own)) if own > 0 else y
+
+
+def reverberant(y: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """A room whose echoes are random and fall by 60 dB over the decay time, beside the direct path; no louder than before, and
+    cut to the signal's length."""
+    length = int(r.uniform(*DECAY) * RATE)
+    room = r.normal(size=length) * np.power(10.0, -3 * np.arange(length) / length)
+    room[0] += 1
+    room /= np.sum(np.abs(room))
+    size = 1 << int(np.ceil(np.log2(len(y) + length)))
+    return np.fft.irfft(np.fft.rfft(y, size) * np.fft.rfft(room, size), size)[: len(y)]
+
+
+def clipped(y: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """Saturation relative to the peak, which soft clipping keeps; hard clipping cuts at a share of it."""
+    peak = np.abs(y).max(initial=0.0)
+    if peak == 0:
+        return y
     if r.random() < 0.5:
-        n = np.convolve(n, np.ones(8) / 8, mode="same")
-    gain = np.sqrt((np.mean(y**2) + 1e-12) / (np.mean(n**2) + 1e-12) / 10 ** (r.uniform(10, 30) / 10))
-    return y + gain * n
-
-
-def reverberant(y, r):
-    """Convolution with decaying noise, cut to the length."""
-    rt = r.uniform(0.08, 0.5)
-    t = np.arange(max(int(rt * RATE), 1)) / RATE
-    ir = r.normal(size=len(t)) * np.exp(-6.9 * t / rt)
-    ir[0] = 1.0
-    size = 1 << (len(y) + len(ir)).bit_length()
-    out = np.fft.irfft(np.fft.rfft(y, size) * np.fft.rfft(ir / np.abs(ir).sum(), size), size)[: len(y)]
+        drive = r.uniform(*DRIVE)
+        return peak / np.tanh(drive) * np.tanh(drive / peak * y)
+    limit = peak * r.uniform(*SHARE)
+    return np.minimum(np.maximum(y, -limit), limit)
+
+
+def adaptive_steps(y: np.ndarray, bits: int) -> np.ndarray:
+    """Each sample as a code of a few bits for its difference from the last one that the decoder has; steps grow after large
+    codes and shrink after small ones."""
+    most, step, last, out = (1 << (bits - 1)) - 1, 0.02, 0.0, np.empty(len(y))
+    for i, v in enumerate(y.tolist()):
+        code = max(-most, min(most, round((v - last) / step)))
+        last += code * step
+        out[i] = last
+        step = min(0.5, max(1e-4, step * (0.9 if abs(code) <= most // 2 else 1.0 + 0.8 * abs(code) / most)))
     return out
 
 
-def clipped(y, r):
-    """Soft by tanh, or hard."""
-    g = r.uniform(2, 6)
-    return np.tanh(g * y) / np.tanh(g) if r.random() < 0.5 else np.clip(y, -1 / g, 1 / g)
+def companded(y: np.ndarray, bits: int) -> np.ndarray:
+    """Each sample's logarithmically compressed value (mu = 255) in so many bits."""
+    levels = (1 << (bits - 1)) - 1
+    code = np.rint(np.sign(y) * np.log1p(255 * np.abs(y)) / np.log(256) * levels) / levels
+    return np.sign(code) * np.expm1(np.abs(code) * np.log(256)) / 255
+
+
+def recoded(y: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """A lossy round trip, adaptive steps of 3 to 5 bits or companding to 5 to 8, in place of the MP3 and AAC coders, which Spark's workers do not
+    have. What cannot be coded comes back as it is."""
+    peak = np.abs(y).max(initial=0.0)
+    if not np.isfinite(peak) or peak == 0:
+        return y
+    coder, bits = (adaptive_steps, int(r.integers(3, 6))) if r.random() < 0.5 else (companded, int(r.integers(5, 9)))
+    return coder(y / peak, bits) * peak
 
 
-EFFECTS = ((noisy, 0.6), (reverberant, 0.5), (clipped, 0.35))
+EFFECTS = ((noisy, 0.6), (reverberant, 0.5), (clipped, 0.35), (recoded, 0.3))
 
 
 def augmented(y: np.ndarray, seed: int) -> np.ndarray:

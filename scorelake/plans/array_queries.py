@@ -40,7 +40,9 @@ TEXT = {
     "q_specaugment_mask": with_(V, FRAMES, f"m AS (SELECT vec_id, {MASKS} FROM vecs)") + " SELECT f.vec_id, CAST(n AS INT) AS i, ROUND(CASE WHEN " + " OR ".join(f"({axis} >= {a}0 AND {axis} < {a}0 + {a}w)" for axis, a in (("n % 8", "fa"), ("n % 8", "fb"), ("(n - n % 8) / 8", "ta"), ("(n - n % 8) / 8", "tb"))) + " THEN cast(0 as double) ELSE v END, 6) AS v FROM frames f JOIN m ON m.vec_id = f.vec_id",
     "q_dct2": with_(V, FRAMES, "ks AS (SELECT DISTINCT n AS k FROM frames WHERE n < 20)") + " SELECT vec_id, CAST(k AS INT) AS k, ROUND(SUM(v * COS(PI() / 64 * (n + 0.5) * k)) * CASE WHEN k = 0 THEN SQRT(CAST(1 AS DOUBLE) / 64) ELSE SQRT(CAST(2 AS DOUBLE) / 64) END, 6) AS c FROM frames CROSS JOIN ks GROUP BY vec_id, k",
     "q_deltas": with_(V, FRAMES, "w AS (SELECT vec_id, n, v, FIRST_VALUE(v) OVER (PARTITION BY vec_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v0, LAST_VALUE(v) OVER (PARTITION BY vec_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v9, " + ", ".join(f"LAG(v, {k}) OVER (PARTITION BY vec_id ORDER BY n) AS b{k}, LEAD(v, {k}) OVER (PARTITION BY vec_id ORDER BY n) AS a{k}" for k in (1, 2, 3, 4)) + " FROM frames)") + " SELECT vec_id, CAST(n AS INT) AS i, ROUND((" + " + ".join(f"{k} * (COALESCE(a{k}, v9) - COALESCE(b{k}, v0))" for k in (1, 2, 3, 4)) + ") / 60, 6) + CAST(0 AS DOUBLE) AS d FROM w",
-    "q_linear_filterbank": "WITH f AS (SELECT m, b FROM (SELECT m, {{EXPL:{{SEQ:257}}}} AS b FROM (SELECT {{EXPL:{{SEQ:70}}}} AS m FROM (SELECT 1 AS one FROM [region] WHERE r_regionkey = 0) r) q) p), h AS (SELECT m, b, b * CAST(8000 AS DOUBLE) / 256 AS hz, (m + 1) * CAST(8000 AS DOUBLE) / 71 AS mid, CAST(8000 AS DOUBLE) / 71 AS wid FROM f) SELECT CAST(m AS INT) AS m, CAST(b AS INT) AS b, ROUND(GREATEST(cast(0 as double), 1 - ABS(hz - mid) / wid), 9) AS weight FROM h WHERE ABS(hz - mid) < wid",
+    # the vectors' squares as 64 bins of power up to 8 kHz, through 20 triangles of equal width
+    "q_linear_filterbank": with_(V, FRAMES, "hz AS (SELECT vec_id, n, v * v AS power, n * CAST(8000 AS DOUBLE) / 63 AS hz FROM frames)", "banks AS (SELECT DISTINCT n AS m, (n + 1) * CAST(8000 AS DOUBLE) / 21 AS mid, CAST(8000 AS DOUBLE) / 21 AS wid FROM frames WHERE n < 20)")
+    + " SELECT vec_id, CAST(m AS INT) AS m, COUNT(*) AS bins, ROUND(SUM((1 - ABS(hz - mid) / wid) * power), 6) AS energy FROM hz JOIN banks ON hz > mid - wid AND hz < mid + wid GROUP BY vec_id, m",
     "q_frame_explode": with_(V, FRAMES) + " SELECT vec_id, COUNT(*) AS n, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_POP(v), 6) AS sd FROM frames GROUP BY vec_id",
     "q_gmm_logdensity": with_(V, MIX) + " SELECT vec_id, ROUND(ll, 5) AS ll FROM ll",
     "q_gmm_em_step": with_(V, MIX, "g AS (SELECT lp.vec_id, lp.k, EXP(l - ll) AS r FROM lp JOIN ll ON ll.vec_id = lp.vec_id)", "s AS (SELECT g.k, f.n, SUM(r) AS nk, SUM(r * v) AS sk, SUM(r * v * v) AS tk FROM g JOIN frames f ON f.vec_id = g.vec_id GROUP BY g.k, f.n)") + " SELECT k, CAST(n AS INT) AS n, ROUND(nk, 5) AS nk, ROUND(sk / nk, 6) AS mean, ROUND(GREATEST(tk / nk - (sk / nk) * (sk / nk), cast(0 as double)) + 1e-6, 6) AS var FROM s",
