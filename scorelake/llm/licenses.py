@@ -4,7 +4,8 @@ A text is cut into parts at line ends and after sentence marks; parts that follo
 long as they begin a known sentence, so that wrapped lines and comment blocks count as the sentences they hold, and other lines
 up to a mark or blank line as one sentence. Sentences are normalised (lower case, runs of other than
 letters, digits, dots within numbers and plus signs become one space) and looked up among known licence sentences; a sentence
-that does no more than put something under a licence by its name is known by that name. Holders and years of a copyright line
+that does no more than put something under a licence by its name, or under several joined by and or or, is known by these names. So is a
+line "License: name", and each identifier of an SPDX tag's expression; identifiers that no table holds stay unclassified. Holders and years of a copyright line
 are dropped. The identifiers found, in order, are matched against the rules: a rule fires
 where its identifiers follow each other with at most GAP sentences between two; the first rule in the list takes its
 sentences, which later rules cannot use. Sentences that no rule takes are reported as `unclassified`.
@@ -70,6 +71,16 @@ SENTENCES = {
 }
 #: The general public licences: identifier, name, versions.
 GENERAL = (("GPL", "gnu general public license", ("2", "3")), ("LGPL", "gnu lesser general public license", ("2.1", "3")), ("LGPL", "gnu library general public license", ("2",)), ("AGPL", "gnu affero general public license", ("3",)))
+#: The titles that stand over their own texts, by licence.
+TITLES = {
+    "GPL-2.0": "gnu general public license version 2 june 1991",
+    "GPL-3.0": "gnu general public license version 3 29 june 2007",
+    "LGPL-2.0": "gnu library general public license version 2 june 1991",
+    "LGPL-2.1": "gnu lesser general public license version 2.1 february 1999",
+    "LGPL-3.0": "gnu lesser general public license version 3 29 june 2007",
+    "AGPL-3.0": "gnu affero general public license version 3 19 november 2007",
+}
+VERBATIM = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"
 FREE = "this {what} is free software you can redistribute it and or modify it under the terms of the {name}"
 #: What a licence is called where it is only named, by its identifier.
 NAMES = {
@@ -79,6 +90,7 @@ NAMES = {
     "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "two clause bsd license", "simplified bsd license", "freebsd license", "bsd 2 clause"),
     "BSD": ("bsd license", "bsd style license", "bsd licence", "berkeley software distribution license"),
     "ISC": ("isc license",),
+    "0BSD": ("0bsd", "0bsd license", "bsd zero clause license", "zero clause bsd license"),
     "Zlib": ("zlib license", "zlib libpng license"),
     "BSL-1.0": ("boost software license", "boost software license version 1.0", "boost software license 1.0"),
     "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0", "mozilla public license v 2.0", "mpl 2.0", "mpl version 2.0", "mpl v2.0", "mplv2"),
@@ -95,6 +107,7 @@ COMMONS, COMMONS_VERSIONS = {"BY": "attribution", "BY-SA": "attribution shareali
 def extended():
     """The tables with what follows from rules: the general public licences' sentences and names, Creative Commons' names."""
     sentences, names = dict(SENTENCES), {k: list(v) for k, v in NAMES.items()}
+    sentences |= {f"title-{name}": title for name, title in TITLES.items()} | {"gpl-verbatim": VERBATIM}
     for spdx, name, versions in GENERAL:
         short = spdx.lower()
         for v in versions:
@@ -168,6 +181,7 @@ def normal(sentence: str) -> str:
 
 
 ALL, CALLED = extended()
+RULES += tuple((name, (f"title-{name}", *rest)) for name in TITLES for rest in (("copyright", "gpl-verbatim"), ("gpl-verbatim",), ()))
 RULES += tuple((i.split(":")[0], (i, hope)) for i in ALL if ":" in i and "copy" not in i for hope in ("gpl-hope", "lgpl-hope"))
 RULES += tuple((i.split(":")[0], (i,)) for i in ALL if ":" in i and "copy" not in i) + LAST_RULES + tuple((name, (f"name:{name}",)) for name in CALLED)
 KNOWN = {v: k for k, v in ALL.items()}
@@ -178,12 +192,45 @@ MENTION = re.compile(
     + "|".join(sorted(map(re.escape, NAMED), key=len, reverse=True))
     + r")(?: licen[sc]e)?"
 )
+#: The same of several licences, each by a name, joined by and or or.
+ONE = "(?:the |an? )?(?:" + "|".join(sorted(map(re.escape, NAMED), key=len, reverse=True)) + ")(?: licen[sc]es?)?"
+JOINED = re.compile(rf"(?:(?:this|the|all|our|its) (?:[^\W\d_]+ ){{0,5}}?(?:is|are) )?(?:also |dual |now )*(?:released|licensed|distributed|available|made available|published|provided)(?: under| by| with)? (?:either )?(?:the )?(?:terms (?:and conditions )?of )?(?P<names>{ONE}(?: (?:and or|and|or) {ONE})+)")
+EACH = re.compile(rf"(?:^| (?:and or|and|or) ){ONE}")
+#: A tag and its expression; a line that gives a licence after the word; what an SPDX identifier is called here.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)])", re.IGNORECASE)
+LABEL = re.compile(r"(?:^|(?<=\n))[ \t/*#;%!<>|-]*licen[sc]e:[ \t]+([^\n]+)", re.IGNORECASE)
+SPDX = {k.lower(): k for k in CALLED}
+SPDX |= {f"{spdx}-{v if '.' in v else f'{v}.0'}{old}".lower(): f"{spdx}-{v if '.' in v else f'{v}.0'}-{new}" for spdx, _, vs in GENERAL for v in vs for old, new in (("", "only"), ("+", "or-later"))}
 #: What a known sentence may begin with, by words.
 BEGINS = {" ".join(v.split()[:n]) for v in KNOWN for n in range(1, len(v.split()) + 1)}
 
 
+def names_in(words: str) -> list[str]:
+    """The names that a normalised list of licences consists of."""
+    bare = lambda m: re.sub(r"^ ?(?:and or |and |or )?(?:the |an? )?", "", m)
+    found = [bare(m.group()) for m in EACH.finditer(words)]
+    return [NAMED.get(n) or NAMED.get(re.sub(r" licen[sc]es?$", "", n)) or NAMED[re.sub(r"s$", "", n)] for n in found]
+
+
+def declared(text: str) -> list[tuple[list[str], int, int]]:
+    """(identifiers, start, end) of SPDX tags and of lines that give a licence after the word."""
+    out = []
+    for m in TAG.finditer(text):
+        words = [w for w in re.split(r"[()\s]+", m[1]) if w]
+        words = [w for i, w in enumerate(words) if w.upper() not in ("AND", "OR", "WITH") and (not i or words[i - 1].upper() != "WITH")]
+        out.append(([f"name:{SPDX[w.lower()]}" if w.lower() in SPDX else "spdx:other" for w in words], m.start(), m.end()))
+    for m in LABEL.finditer(text):
+        words = normal(m[1])
+        if words.lower() in NAMED or re.fullmatch(f"{ONE}(?: (?:and or|and|or) {ONE})*", words):
+            out.append(([NAMED[words]] if words in NAMED else names_in(words), m.start() + len(m.group()) - len(m.group().lstrip(" \t/*#;%!<>|-")), m.end()))
+        elif m[1].strip().lower() in SPDX:
+            out.append(([f"name:{SPDX[m[1].strip().lower()]}"], m.start() + len(m.group()) - len(m.group().lstrip(" \t/*#;%!<>|-")), m.end()))
+    return sorted(out, key=lambda x: x[1:])
+
+
 def sentences(text: str):
     """(identifier, ordinal of the sentence, start, end) of the known sentences."""
+    given = declared(text)
     parts = [(normal(m.group()), m.start(), m.end()) for m in CUT.finditer(text)]
 
     def parted(i: int) -> bool:
@@ -203,7 +250,9 @@ def sentences(text: str):
                 found = MENTION.fullmatch(joined)
                 # a line within a sentence must say so in full, and a word of three letters is no licence by itself
                 if found and (found["verb"] or not running and joined != "mit"):
-                    return NAMED[found["name"]], j
+                    return [NAMED[found["name"]]], j
+                if several := JOINED.fullmatch(joined):
+                    return names_in(several["names"]), j
                 if text[parts[j][2] - 1] != ".":
                     return None
             j += 1
@@ -211,6 +260,16 @@ def sentences(text: str):
 
     out, i, n, running = [], 0, 0, False
     while i < len(parts):
+        while given and given[0][2] <= parts[i][1]:
+            given.pop(0)
+        if given and given[0][1] < parts[i][2]:  # a tag or label, whatever parts it is cut into
+            names, start, end = given.pop(0)
+            n += running
+            out += [(name, n, start, end) for name in names]
+            n, running = n + 1, False
+            while i < len(parts) and parts[i][1] < end:
+                i += 1
+            continue
         joined, j, found = "", i, None
         while j < len(parts) and (j == i or not parted(j)):
             joined = f"{joined} {parts[j][0]}".strip()
@@ -226,7 +285,7 @@ def sentences(text: str):
             continue
         if (not running or "\n" in text[parts[i - 1][2] : parts[i][1] + 1]) and (end := named(i)):
             n += running
-            out.append((end[0], n, parts[i][1], parts[end[1]][2]))
+            out += [(name, n, parts[i][1], parts[end[1]][2]) for name in end[0]]
             i, n, running = end[1] + 1, n + 1, False
             continue
         running = True

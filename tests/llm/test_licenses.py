@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from scorelake.llm import licenses as x
 from pyspark.sql import functions as F
 
@@ -156,3 +159,51 @@ def test_very_long_texts(make_docs):
     text = "plain words here. " * 30_000 + "\n\n" + MIT + "\n\n" + "x " * 100_000 + "\n\nReleased under the ISC license."
     (row,) = x.scan(make_docs([(1, text)])).collect()
     assert [n for n in row.licences if n != "unclassified"] == ["MIT", "ISC"] and text[row.spans[-1].start :].strip() == "Released under the ISC license."
+
+
+def found(text):
+    return [(name, text[s:e]) for name, s, e in x.licences(x.sentences(text))]
+
+
+def test_tags_labels_and_joined_names():
+    assert found("// SPDX-License-Identifier: MIT\nint x;") == [("MIT", "SPDX-License-Identifier: MIT")]
+    assert [n for n, _ in found("# SPDX-License-Identifier: (GPL-2.0+ OR BSD-3-Clause)\n")] == ["BSD-3-Clause", "GPL-2.0-or-later"]
+    assert [n for n, _ in found("/* SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception */")] == ["Apache-2.0"]
+    assert [n for n, _ in found("SPDX-License-Identifier: LicenseRef-Ours")] == ["unclassified"]
+    assert found("Name: x\nLicense: MIT\nHome: y") == [("MIT", "License: MIT")]
+    assert [n for n, _ in found("License: GPL-3.0-only")] == ["GPL-3.0-only"]
+    assert [n for n, _ in found("License: MIT or Apache 2.0\n")] == ["Apache-2.0", "MIT"]
+    assert [n for n, _ in found("This project is dual licensed under MIT and Apache-2.0.")] == ["Apache-2.0", "MIT"]
+    assert [n for n, _ in found("Licensed under either the MIT license or the Apache License 2.0.\n")] == ["Apache-2.0", "MIT"]
+    assert [n for n, _ in found("released under the GPL version 2 or later")] == ["GPL-2.0-or-later"]
+    for plain in ("License: see below", "The license: a story of mit and men.", "MIT", "we met at mit and left."):
+        assert found(plain) == [], plain
+
+
+def test_general_public_licences_own_texts():
+    head = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"
+    body = " Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n"
+    assert [n for n, _ in found(head)] == ["GPL-3.0"]
+    assert [n for n, _ in found(head + body + "  Preamble\n\n The GNU General Public License is a free one.\n")] == ["GPL-3.0"]
+    lesser = "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\n" + body
+    assert [n for n, _ in found(lesser)] == ["LGPL-2.1"]
+
+
+def test_rules_against_all_choices():
+    """For every rule in order and every start, the first free sentences in order within the gap, found by trying all."""
+    r = random.Random(5)
+    ids = sorted({i for _, wanted in x.RULES[:16] for i in wanted})
+    for _ in range(150):
+        n, rows = 0, []
+        for k in range(r.randrange(1, 9)):
+            n += r.choice([0, 1, 1, 2, 5])
+            rows.append((r.choice(ids), n, 10 * k, 10 * k + 5))
+        free, want = set(range(len(rows))), []
+        for name, wanted in x.RULES:
+            for i in range(len(rows)):
+                fits = [c for c in itertools.combinations(range(i, len(rows)), len(wanted)) if c[0] == i and set(c) <= free and all(rows[j][0] == w for j, w in zip(c, wanted)) and all(rows[b][1] - rows[a][1] <= x.GAP + 1 for a, b in zip(c, c[1:]))]
+                if fits:
+                    free -= set(min(fits))
+                    want.append((name, 10 * min(fits)[0], 10 * min(fits)[-1] + 5))
+        want += [("unclassified", 10 * i, 10 * i + 5) for i in free]
+        assert x.licences(rows) == sorted(want, key=lambda h: (h[1], h[2], h[0]))
