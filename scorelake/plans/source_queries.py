@@ -57,7 +57,7 @@ def q_json_summary(s, d):
 def q_aligned_zip(s, d):
     """Two files by line number."""
     path = files.scratch(s, "zip")
-    p = model.read(s, d, "part").orderBy("p_partkey").coalesce(1)
+    p = model.read(s, d, "part").orderBy("p_partkey")  # files by name keep the order
     p.select("p_name").write.text(f"{path}/a")
     p.select(F.col("p_retailprice").cast("string")).write.text(f"{path}/b")
     z = text.zipped(s, f"{path}/a", f"{path}/b")

@@ -121,9 +121,12 @@ def wav(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     return audio.files(spark, path, pattern, None)
 
 
-def markdown(df: DataFrame, title: str, digits: int = 4) -> str:
-    """A small result as a Markdown table."""
+def markdown(df: DataFrame, title: str, digits: int = 4, most: int = 10_000) -> str:
+    """A small result as a Markdown table; one of more rows than that is refused."""
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    rows = [[show(v) for v in r] for r in df.collect()]  # a report's table
+    found = df.take(most + 1)
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows are no report's table")
+    rows = [[show(v) for v in r] for r in found]
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([f"## {title}", "", line(df.columns), line(["---"] * len(df.columns)), *map(line, rows), ""])
