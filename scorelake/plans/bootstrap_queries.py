@@ -74,8 +74,7 @@ def draws(s, d, n=FEW):
     """The weights themselves, as a table: rep, y, speaker, w."""
     rows, sizes = b.numbered_speakers(evaluated(s, d), True)
     named = rows.select("y", "speaker", "unit").distinct()
-    weights = [(r, y, k, int(w)) for salt, (y, n_y) in enumerate(zip((1, 0), sizes)) for r, counts in enumerate(b.draw_counts(range(n), n_y, salt)) for k, w in enumerate(counts) if w]
-    return named.join(s.createDataFrame(weights, "rep int, y int, unit int, w int"), ["y", "unit"]).select("rep", "y", "speaker", F.col("w").cast("long").alias("w"))
+    return named.join(b.draw_table(s, n, sizes).withColumn("y", 1 - F.col("stratum")), ["y", "unit"]).select("rep", "y", "speaker", "w")
 
 
 def q_bootstrap_naive_check(s, d):
