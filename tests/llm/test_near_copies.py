@@ -92,3 +92,28 @@ def test_sketches_keep_pairs_at_the_threshold():
         bits = [bin((int(f(x)) ^ int(f(y))) & (2**64 - 1)).count("1") for f in (simhash.majority, nc.minima)]
         far += bits[0] > nc.NEAR or bits[1] > nc.MINIMA
     assert far == 0
+
+
+def test_a_pair_goes_on_from_the_first_list_only(spark, monkeypatch):
+    """Texts alike but under the threshold share many lists: each pair is made once, in cells of one block or of several."""
+    for cell in (1000, 5):
+        monkeypatch.setattr(nc, "CELL", cell)
+        rows = [(g, node, 40, g, node, 0, 0) for g in range(8) for node in range(1, 13) if (g + node) % 3]
+        lists = spark.createDataFrame([(g + 1, *r) for g, *r in rows], "gram long, node long, n int, at int, group long, fp long, sk long")
+        raw = []
+        distinct = type(lists).distinct
+        monkeypatch.setattr(type(lists), "distinct", lambda df: raw.append(df) or df)
+        nc.all_pairs(lists, 0.5)
+        monkeypatch.setattr(type(lists), "distinct", distinct)
+        got = sorted((r.a, r.b) for r in raw[0].repartition(1).collect())
+        held = {}
+        for g, node, *_ in rows:
+            held.setdefault(node, set()).add(g)
+        want = sorted((a, b) for a in held for b in held if a < b and held[a] & held[b])
+        assert got == want
+
+
+def test_fingerprints_meet_in_the_index_first(spark):
+    """Pairs within the index's two bits come from it, and those beyond do not."""
+    named = spark.createDataFrame([(1, 10, 0), (2, 20, 3), (3, 30, 0), (4, 40, 255)], "doc_id long, node long, fp long")
+    assert sorted((r.a, r.b) for r in nc.by_index(named).collect()) == [(10, 20), (10, 30)]
