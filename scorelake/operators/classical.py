@@ -4,13 +4,13 @@ forests, class weights, block importances."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from . import kernel_svm, metrics
+from . import forests, kernel_svm, metrics
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -100,18 +100,18 @@ def refit_best(sweep: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame
     return rbf_svm_scores(train, test, best.c, best.gamma)
 
 
-def forest(train: DataFrame, trees: int = 300, seed: int = 42, depth: int = 30):
-    """A balanced random forest; 30 is the greatest depth that Spark's trees can have."""
-    fit = class_weights(train).withColumn("features", array_to_vector("x")).withColumn("label", F.col("y").cast("double"))
-    return RandomForestClassifier(numTrees=trees, weightCol="weight", seed=seed, maxDepth=depth).fit(fit)
+def forest(train: DataFrame, trees: int = 300, seed: int = 42, depth: int = 30) -> forests.Forest:
+    """A balanced random forest. Rows carry filename, x and y."""
+    n = {r.y: r["count"] for r in train.groupBy("y").count().collect()}  # two rows
+    total = sum(n.values())
+    return forests.fit(train, tuple(total / (2.0 * max(n.get(c, 0), 1)) for c in (0, 1)), trees, seed, depth)
 
 
-def forest_scores(model, rows: DataFrame) -> DataFrame:
-    out = model.transform(rows.withColumn("features", array_to_vector("x")))
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def forest_scores(model: forests.Forest, rows: DataFrame) -> DataFrame:
+    return forests.scores(model, rows)
 
 
 def block_importance(spark, model, blocks: int, size: int) -> DataFrame:
     """Importance summed over blocks of features."""
-    v = model.featureImportances.toArray()
+    v = model.importances()
     return spark.createDataFrame([(i, float(v[i * size : (i + 1) * size].sum())) for i in range(blocks)], "block int, importance double")
