@@ -113,3 +113,14 @@ def test_too_many_support_vectors_are_refused(data, monkeypatch):
     monkeypatch.setattr(kernel_svm, "SUPPORT", 5)
     with pytest.raises(Exception, match="support vectors in one task"):
         kernel_svm.fit(data[0], [(None, 1.0, 0.1)], classical.stored)
+
+
+def test_the_best_points_fit_is_not_made_twice(data, tmp_path, monkeypatch):
+    train, test = data
+    path, vectors = str(tmp_path / "sweep"), str(tmp_path / "vectors")
+    sweep = classical.svm_sweep(train, test, path, (60, None), (1.0,), (0.01, 0.1), vectors=vectors)
+    best = sweep.orderBy("eer", "c", "gamma").first()
+    want = {r.filename: r.score for r in classical.rbf_svm_scores(train, test, best.c, best.gamma).collect()}
+    monkeypatch.setattr(kernel_svm, "fit", lambda *a: pytest.fail("fitted again"))
+    got = {r.filename: r.score for r in classical.refit_best(sweep, train, test, vectors).collect()}
+    assert got.keys() == want.keys() and max(abs(got[f] - want[f]) for f in want) < 1e-6
