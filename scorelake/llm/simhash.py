@@ -31,6 +31,8 @@ SHARED = 8 - RADIUS
 FREE = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)]
 #: Lists of up to so many members are compared by pairs.
 PAIRWISE = 128
+#: Edges that a task reads in a round of stars, and tasks at least.
+TASK_EDGES, LEAST_TASKS = 50_000, 8
 
 
 def majority(h):
@@ -163,18 +165,20 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def components_of(edges: DataFrame) -> DataFrame:
     """node, component: the least node that each node of the edges (a, b) reaches; large and small stars in turn
-    (Kiveris and others, 2014). Its rounds grow as the logarithm of the longest path. The edges are read twice."""
+    (Kiveris and others, 2014). Its rounds grow as the logarithm of the longest path. The edges are read twice, in as many tasks
+    as the round before has counted rows for."""
     edges, seen = edges.select("a", "b"), None
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        small = large.join(low, "u").select(F.inline(F.array(pair("v", "m"), pair("u", "m")))).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
         seal = Observation()  # taken as the round is written, without a pass of its own
         edges = cut(small.observe(seal, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
         now = tuple(seal.get.values())
+        edges = edges.coalesce(max(LEAST_TASKS, now[0] // TASK_EDGES + 1))
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = now

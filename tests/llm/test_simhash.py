@@ -96,3 +96,29 @@ def test_clashing_columns_repeated_rows_and_long_texts(make_docs):
     kept = s.keep_one(docs).collect()
     assert sorted(r.doc_id for r in kept) == [5, 6] and all((r._row, r.fp, r.component_id, r.n) == (1, 2, 3, 4) for r in kept)
     assert s.fingerprint("z y x " * 200_000) == brute_fp("z y x " * 200_000)
+
+
+def test_rounds_of_stars_take_few_tasks(spark, monkeypatch):
+    """A round was 11 times the shuffle partitions in tasks; now fewer than 6 (pipeline)."""
+    rounds, cut, sc = [], s.cut, spark.sparkContext
+    monkeypatch.setattr(s, "cut", lambda df: rounds.append(1) or cut(df))
+    edges = [(i, i + 1) for i in range(40) if i != 20] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    edges = cut(spark.createDataFrame(edges, "a long, b long"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("stars", "stars")
+        groups = s.components_of(edges)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker, tasks = sc.statusTracker(), 0
+    for job in tracker.getJobIdsForGroup("stars"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            info = tracker.getStageInfo(stage)
+            tasks += info.numCompletedTasks if info else 0
+    assert 0 < tasks < 6 * 60 * len(rounds), (tasks, len(rounds))
+    got = {(r.node, r.component) for r in groups.collect()}
+    assert got == {(i, 0 if i <= 20 else 21) for i in range(1, 41) if i != 21} | {(i, 100) for i in range(101, 160)}
