@@ -314,6 +314,7 @@ def scores(model: Forest, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(units)], ["id", "units"])
 
     reached = dealt(stored(packed(rows, edges, row)), trees).mapInArrow(reach, "tree int, node long, ids binary, bins binary")
-    both = reached.join(model.subtrees, ["tree", "node"]).select("ids", "bins", "feature", "cut", "left", "share")
+    # neither side may go through the driver: Spark's estimates see neither a row's copy for each tree nor how far subtrees are compressed
+    both = reached.join(model.subtrees.hint("merge"), ["tree", "node"]).select("ids", "bins", "feature", "cut", "left", "share")
     votes = both.mapInArrow(vote, "id long, units long").groupBy(F.col("id").alias(row)).agg((F.sum("units") * F.lit(UNIT / trees)).alias("score"))
     return rows.join(votes, row).drop(row)
