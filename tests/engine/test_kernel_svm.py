@@ -124,3 +124,18 @@ def test_the_best_points_fit_is_not_made_twice(data, tmp_path, monkeypatch):
     monkeypatch.setattr(kernel_svm, "fit", lambda *a: pytest.fail("fitted again"))
     got = {r.filename: r.score for r in classical.refit_best(sweep, train, test, vectors).collect()}
     assert got.keys() == want.keys() and max(abs(got[f] - want[f]) for f in want) < 1e-6
+
+
+def test_a_start_from_a_solution_makes_no_column_a_row(monkeypatch):
+    """The slope at the start took a kernel column of each row that had weight, one at a time (q_svm_grid, q_rbf_svm)."""
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 3)), np.where(np.arange(60) % 2, 1.0, -1.0)
+    cap = np.full(60, 1.0)
+    want, b = kernel_svm.solve(kernel_svm.Kernel(x, 0.3), y, cap)
+    monkeypatch.setattr(kernel_svm, "BLOCK", 10)
+    monkeypatch.setattr(kernel_svm, "CACHE_BYTES", 32 * 60 * 7)  # blocks of seven rows
+    kernel = kernel_svm.Kernel(x, 0.3)
+    slope = -1 + y * (kernel.against(x) @ (want * y))
+    assert np.allclose(kernel_svm.slopes(kernel, y, want), slope, atol=1e-12)
+    got, again = kernel_svm.solve(kernel, y, cap, want, 2e-4)
+    assert np.allclose(got, want) and again == pytest.approx(b) and (want > 0).sum() > 40 and not kernel.kept
