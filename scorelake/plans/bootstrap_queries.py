@@ -48,12 +48,18 @@ def q_paired_diff(s, d):
     return b.paired(replicates(s, d), s.createDataFrame(list(PAIRS), "system string, control string"))
 
 
+def ratio(a: str, b: str):
+    """a / b as SQL has it: widths may be zero, where Spark's own division raises."""
+    a, b = F.col(a), F.col(b)
+    return F.when(b != 0, a / b).when(a == 0, F.lit(float("nan"))).when(a > 0, F.lit(float("inf")))
+
+
 def q_ci_width_ratio(s, d):
     out = None
     for scheme, unit in (("clustered", "speaker"), ("trial", "trial")):
         w = b.intervals(replicates(s, d, unit), ["system"]).where(F.col("system") != FUSED).agg(F.avg("eer_ci_width").alias(f"{scheme}_eer"), F.avg("tdcf_ci_width").alias(f"{scheme}_tdcf"))
         out = w if out is None else out.crossJoin(w)  # one row each
-    return out.select(F.round("clustered_eer", 7).alias("clustered_width"), F.round("trial_eer", 7).alias("trial_width"), F.round(F.col("clustered_eer") / F.col("trial_eer"), 4).alias("eer_ratio"), F.round(F.col("clustered_tdcf") / F.col("trial_tdcf"), 4).alias("tdcf_ratio"))
+    return out.select(F.round("clustered_eer", 7).alias("clustered_width"), F.round("trial_eer", 7).alias("trial_width"), F.round(ratio("clustered_eer", "trial_eer"), 4).alias("eer_ratio"), F.round(ratio("clustered_tdcf", "trial_tdcf"), 4).alias("tdcf_ratio"))
 
 
 def q_ci_overlap(s, d):
@@ -72,9 +78,8 @@ def q_stratum_paired_ci(s, d):
 
 def draws(s, d, n=FEW):
     """The weights themselves, as a table: rep, y, speaker, w."""
-    rows, sizes = b.numbered_speakers(evaluated(s, d), True)
-    named = rows.select("y", "speaker", "unit").distinct()
-    return named.join(b.draw_table(s, n, sizes).withColumn("y", 1 - F.col("stratum")), ["y", "unit"]).select("rep", "y", "speaker", "w")
+    names, sizes = b.speakers(evaluated(s, d), True)
+    return names.hint("merge").join(b.draw_table(s, n, sizes).withColumn("y", 1 - F.col("stratum")), ["y", "unit"]).select("rep", "y", "speaker", "w")
 
 
 def q_bootstrap_naive_check(s, d):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from scorelake import __main__ as cli
 from scorelake.operators import bootstrap, classical, dsp, fusion, metrics, mixtures
+from scorelake.plans import bootstrap_queries
 from scorelake.sources import files
 from scorelake.streaming import batches
 from pyspark.sql import functions as F
@@ -187,3 +188,24 @@ def test_incomplete_batches_write_nothing_and_failures_can_be_accepted(spark, tm
     bad = lambda df: df.withColumn("error", F.lit("bad"))
     assert batches.run_available(spark, src, "filename long", bad, str(tmp_path / "o2"), str(tmp_path / "c2"), accept_failures=True) == 0
     assert spark.read.parquet(str(tmp_path / "o2/failed")).count() == 20
+
+
+def test_weights_and_speakers_do_not_pass_the_driver(spark, monkeypatch):
+    """A large table of speakers was broadcast, and the weights were made on the driver (q_bootstrap_naive_check)."""
+    rows = [(i % 9, int(i % 3 == 0), float(i % 17), i, "a") for i in range(200)]
+    t = spark.createDataFrame(rows, "speaker long, y int, score double, filename long, system string")
+    want = {r.rep: r.eer for r in bootstrap.replicate_metrics(t, ["system"], 4).collect()}
+    monkeypatch.setattr(bootstrap, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: pytest.fail("sent by the driver"))
+    numbered, sizes = bootstrap.numbered_speakers(t, True)
+    assert "Broadcast" not in numbered._jdf.queryExecution().executedPlan().toString() and numbered.count() == 200 and sum(sizes) == 9
+    assert {r.rep: r.eer for r in bootstrap.replicate_metrics(t, ["system"], 4).collect()} == want and len(want) == 4
+
+
+def test_a_width_of_zero_has_the_ratio_that_sql_gives(spark, monkeypatch):
+    """Spark's division by zero raises (q_ci_width_ratio)."""
+    widths = iter([(0.5, 0.0), (0.0, 0.0)])
+    monkeypatch.setattr(bootstrap_queries, "replicates", lambda *a: None)
+    monkeypatch.setattr(bootstrap, "intervals", lambda *a: spark.createDataFrame([("A", *next(widths))], "system string, eer_ci_width double, tdcf_ci_width double"))
+    got = bootstrap_queries.q_ci_width_ratio(spark, "").first()
+    assert (got.clustered_width, got.trial_width, got.eer_ratio) == (0.5, 0.0, np.inf) and np.isnan(got.tdcf_ratio)
