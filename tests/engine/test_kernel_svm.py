@@ -139,3 +139,19 @@ def test_a_start_from_a_solution_makes_no_column_a_row(monkeypatch):
     assert np.allclose(kernel_svm.slopes(kernel, y, want), slope, atol=1e-12)
     got, again = kernel_svm.solve(kernel, y, cap, want, 2e-4)
     assert np.allclose(got, want) and again == pytest.approx(b) and (want > 0).sum() > 40 and not kernel.kept
+
+
+def test_a_leap_settles_what_pairs_take_long_for(monkeypatch):
+    """Labels without a pattern and a high C: pairs alone take tens of times as many steps (q_svm_grid, q_svm_sweep)."""
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(300, 8)), np.where(r.random(300) < 0.5, 1.0, -1.0)
+    cap, steps = np.full(300, 100.0), []
+    monkeypatch.setattr(kernel_svm.Kernel, "__getitem__", lambda self, i: steps.append(i) or self.whole[i])
+    want, b = dual(x, y, cap, 0.06)
+    for double, direct in ((2048, 2000), (10, 2000), (10, 20)):  # in double and single precision; by Newton's step and by iterations
+        monkeypatch.setattr(kernel_svm, "DOUBLE", double)
+        monkeypatch.setattr(kernel_svm, "DIRECT", direct)
+        steps.clear()
+        got, again = kernel_svm.solve(kernel_svm.Kernel(x, 0.06), y, cap, None, 1e-6)
+        assert np.abs(got - want).max() < 1e-3 and again == pytest.approx(b, abs=1e-4) and abs(got @ y) < 1e-9
+        assert len(steps) < 6000, (double, direct, len(steps))
